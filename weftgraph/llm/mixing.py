@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, factor: float = 1.5, weights: tuple[int, ..
     before = F.coalesce(F.sum(most * F.col("source_size")).over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(filling.rowsBetween(0, Window.unboundedFollowing))
     src = src.withColumn("level", (total - before) / rest)
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(Window.partitionBy(F.lit(1)))
+    src = src.withColumn("nth", F.row_number().over(filling))
+    level = F.min_by("level", F.when(F.col("level") <= F.col("full"), F.col("nth"))).over(Window.partitionBy(F.lit(1)))
     src = src.withColumn("target", F.least(most * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("w")).cast("double"))
     n = F.expr(f"(source_size + {block - 1}) div {block}")
     need = F.when(F.col("source_size") > 0, F.try_divide(F.col("target") * n, F.col("source_size"))).otherwise(F.lit(0.0))
