@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,9 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 from weftgraph.llm.text import text_or_empty
 
 SPACE = "▁"
+_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Words whose ids a worker keeps; when full the store starts anew. A bound on memory, not on results.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 400_000
+MEMO_WORDS, MEMO_PAIRS = 700_000, 700_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -53,15 +57,18 @@ class Model:
         self.heads = heads
         #: A piece with a space mark after another character would let words run into each other.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.lengths = list(map(len, self.names))
+        self.none = -1  # as if a character without a piece stood before the text
+        self.surface = [bytes([int(n[3:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == 3 else n.encode() for n, k in zip(self.names, self.kinds, strict=True)]
+        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
-    def apart(self, a: str, b: str) -> bool:
+    def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves the pieces ``a`` and ``b``, side by side, as they are."""
-        if (known := self.pairs.get((a, b))) is None:
+        if (known := self.pairs.get(a << 32 | b)) is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            known = self.pairs[a << 32 | b] = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -89,101 +96,106 @@ class Model:
         return [p for p in parts if p is not None]
 
 
-def stream(model: Model, text: str) -> Iterator[str]:
-    """Pieces of ``text``, committed as soon as all survivors agree."""
-    n, ids, heads, longest = len(text), model.ids, model.heads, model.longest
-    base = 0  # boundary committed last
+def stream(model: Model, text: str) -> Iterator[int]:
+    """Piece ids of ``text`` (-1 - code point for a character without a piece), committed as soon as all survivors agree."""
+    n, ids, heads, longest, lengths, bpe = len(text), model.ids, model.heads, model.longest, model.lengths, model.bpe
+    base, far = 0, 0  # the boundary committed last; the farthest one that a survivor jumps to
+    last: dict[int, int] = {0: model.none}  # a boundary's survivor: its last piece
     best: dict[int, float] = {0: 0.0}
-    last: dict[int, str] = {0: ""}  # the survivor's last piece at a boundary
-    for end in range(1, n + 1):
-        found, value = "", 0.0
-        for start in range(max(base, end - longest), end):
-            piece = text[start:end]
-            if start not in last or (piece not in ids and end - start > 1):
+
+    def path(at: int) -> list[int]:
+        out = []
+        while at > base:
+            out.append(last[at])
+            at -= lengths[last[at]] if last[at] >= 0 else 1
+        return out[::-1]
+
+    for s in range(n):
+        if s not in last:
+            continue
+        if s > base:
+            if far <= s:  # no survivor jumps over s
+                yield from path(s)
+                last, best, base = {s: last[s]}, {s: best[s]}, s
+            elif s - base > 4 * longest:  # a long stretch without such a boundary: the survivors' common way
+                ways = []
+                for end in range(s, far + 1):
+                    if end in last:
+                        at, way = end, set()
+                        while at > base:
+                            at -= lengths[last[at]] if last[at] >= 0 else 1
+                            way.add(at)
+                        ways.append(way)
+                if (shared := max(set.intersection(*ways), default=base)) > base:
+                    yield from path(shared)
+                    last = {k: v for k, v in last.items() if k >= shared}
+                    best, base = {k: v for k, v in best.items() if k >= shared}, shared
+        before, value = last[s], best[s]
+        for e in range(s + 1, min(n, s + longest) + 1):
+            piece = text[s:e]
+            if piece not in heads:
+                break
+            if (k := ids.get(piece)) is None:
                 continue
-            if model.bpe:
-                if start == base or not last[start] or model.apart(last[start], piece):
-                    found = piece
-                    if start > base or not last[start] or model.apart(last[start], piece):
-                        break
-                    found = ""
-            else:
-                v = best[start] + (model.scores[ids[piece]] if piece in ids else model.worst)
-                if not found or v > value:
-                    found, value = piece, v
-        if found:
-            last[end], best[end] = found, value
-        # A boundary may still be extended while text from it to here, and one more character, starts a piece.
-        low = max(base, end - longest + 1)
-        live = [s for s in range(low, end + 1) if s in last and (s == end or end == n or text[s : end + 1] in heads)]
-        if end == n:
-            live = [n]
-        if len(live) == 1 and live[0] > base:
-            at, path = live[0], []
-            while at > base:
-                path.append(last[at])
-                at -= len(last[at])
-            yield from reversed(path)
-            base = live[0]
-            keep, value = last[base], best[base]
-            tail = {s: (last[s], best[s]) for s in last if s > base}
-            last, best = {base: keep}, {base: value}
-            for s, (p, v) in tail.items():
-                last[s], best[s] = p, v
-
-
-def encode_word(model: Model, word: str) -> tuple[int, ...]:
-    out: list[int] = []
-    for piece in stream(model, word):
-        if (k := model.ids.get(piece)) is not None:
+            if bpe:
+                if e not in last and (before < 0 or model.apart(before, k)):
+                    last[e], best[e] = k, 0.0
+                    far = max(far, e)
+            elif e not in best or value + model.scores[k] > best[e]:
+                last[e], best[e] = k, value + model.scores[k]
+                far = max(far, e)
+        if text[s] not in ids and (s + 1 not in last or not bpe and value + model.worst > best[s + 1]):
+            last[s + 1], best[s + 1] = -1 - ord(text[s]), value + model.worst
+            far = max(far, s + 1)
+    yield from path(n)
+
+
+def encode_stretch(model: Model, text: str) -> bytes:
+    """Ids of a stretch, as the bytes of 32-bit numbers."""
+    out = array("i")
+    for k in stream(model, text):
+        if k >= 0:
             out.append(k)
         elif model.bytes:
-            out += [model.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            out.extend([model.bytes[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")])
         else:
             out.append(model.unknown)
-    return tuple(out)
+    return out.tobytes()
 
 
-def encode(model: Model, text: str) -> list[int]:
-    """Ids of a text, as the library gives them."""
+def encode_bytes(model: Model, text: str) -> bytes:
     if not text:
-        return []
-    text = (SPACE if model.prefix else "") + text.replace(" ", SPACE)
+        return b""
     if not model.by_word:
-        return list(encode_word(model, text))
-    out: list[int] = []
-    words, memo, at = [], model.words, 0
+        return encode_stretch(model, (SPACE if model.prefix else "") + text.replace(" ", SPACE))
     # No piece crosses from another character to a space mark: all paths converge there, and equal stretches have equal ids.
-    for i in _word_starts(text):
-        words.append(text[at:i])
-        at = i
-    words.append(text[at:])
-    for w in words:
-        if (known := memo.get(w)) is None:
-            known = encode_word(model, w)
-            if len(w) <= 64:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                memo[w] = known
-        out += known
-    return out
-
-
-def _word_starts(text: str) -> list[int]:
-    out, i = [], text.find(SPACE, 1)
-    while i > 0:
-        if text[i - 1] != SPACE:
-            out.append(i)
-        i = text.find(SPACE, i + 1)
-    return out
+    if model.prefix and SPACE not in text and "" not in (words := text.split(" ")):
+        memo = model.words
+        try:
+            return b"".join([memo[w] for w in words])
+        except KeyError:
+            pass
+        out = []
+        for w in words:
+            if (known := memo.get(w)) is None:
+                known = encode_stretch(model, SPACE + w)
+                if len(w) <= 64:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    memo[w] = known
+            out.append(known)
+        return b"".join(out)
+    text = (SPACE if model.prefix else "") + text.replace(" ", SPACE)
+    return b"".join(encode_stretch(model, x) for x in _STRETCH.findall(text))
+
+
+def encode(model: Model, text: str) -> list[int]:
+    """Ids of a text, as the library gives them."""
+    return array("i", encode_bytes(model, text)).tolist()
 
 
 def decode(model: Model, ids: list[int]) -> str:
-    parts: list[bytes] = []
-    for i in ids:
-        kind = model.kinds[i]
-        parts.append(bytes([int(model.names[i][3:-1], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else b"" if kind == 3 else model.names[i].encode())
-    text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+    text = b"".join(map(model.surface.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
@@ -218,11 +230,11 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, same = [], []
-                for x in part.column(1):
-                    text = x.as_py()
-                    got = encode(model, text)
-                    ids.append(got)
-                    same.append(decode(model, got) == text)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=schema.names)
+                for text in part.column(1).to_pylist():
+                    ids.append(encode_bytes(model, text))
+                    same.append(decode(model, array("i", ids[-1])) == text)
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(same, pa.bool_())], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
