@@ -30,11 +30,13 @@ def draw(*parts: Column | str) -> Column:
 
 def permuted(index: Column, n: Column, *names: Column | str) -> Column:
     """Swap-or-not: a permutation of 0..n-1 for any n, one draw for the round's key and one for each pair."""
-    x = index
-    for r in range(ROUNDS):
-        other = F.pmod(draw(*names, str(r)) - x, n)
-        x = F.when(F.pmod(draw(*names, str(r), F.greatest(x, other).cast("string")), F.lit(2)) == 1, other).otherwise(x)
-    return x
+
+    def round_of(x: Column, r: Column) -> Column:
+        partner = F.pmod(draw(*names, r.cast("string")) - x, n)
+        swap = lambda y: F.pmod(draw(*names, r.cast("string"), F.greatest(x, y).cast("string")), F.lit(2)) == 1
+        return F.element_at(F.transform(F.array(partner), lambda y: F.when(swap(y), y).otherwise(x)), 1)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index, round_of)
 
 
 def source_targets(sizes: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 64) -> DataFrame:
@@ -62,7 +64,7 @@ def source_targets(sizes: DataFrame, factor: float = 1.5, weights: tuple[int, ..
 
 
 def slot_counts(targets: DataFrame, slots: int = 1024, seed: str = "mix") -> DataFrame:
-    """Rows (source, shard, start, n): how many slots of a shard a source fills, and its slots before."""
+    """Rows (__rank of the source, shard, start, n): how many slots of a shard a source fills, and its slots before."""
     every = Window.partitionBy(F.lit(1))
     t = targets.withColumn("all", F.round(F.sum("need").over(every)).cast("long")).withColumn("p", F.coalesce(F.try_divide(F.col("need"), F.sum("need").over(every)), F.lit(0.0)))
 
@@ -76,15 +78,16 @@ def slot_counts(targets: DataFrame, slots: int = 1024, seed: str = "mix") -> Dat
     for tag, size in (("F", F.lit(slots).cast("long")), ("L", last)):
         t = t.withColumn(f"rest{tag}", size - F.sum(f"whole{tag}").over(every)).withColumn(f"hi{tag}", F.try_divide(F.sum(f"part{tag}").over(upto), F.sum(f"part{tag}").over(every)))
         t = t.withColumn(f"hi{tag}", F.coalesce(f"hi{tag}", F.lit(0.0))).withColumn(f"lo{tag}", F.coalesce(F.lag(f"hi{tag}").over(Window.partitionBy(F.lit(1)).orderBy("__rank")), F.lit(0.0)))
-    shards = F.floor((F.col("all") + slots - 1) / F.lit(slots)).cast("long")
+    t = materialize(t, "shares")
+    shards = F.expr(f"(all + {slots - 1}) div {slots}")
     rows = t.filter("all > 0 and n_blocks > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
     short = (F.col("shard") == shards - 1) & (last > 0)
     pick = lambda x: F.when(short, F.col(f"{x}L")).otherwise(F.col(f"{x}F"))
-    rows = rows.select("__source", "__rank", "n_blocks", "shard", *[pick(x).alias(x) for x in ("whole", "rest", "lo", "hi")])
+    rows = rows.select("__rank", "n_blocks", "shard", *[pick(x).alias(x) for x in ("whole", "rest", "lo", "hi")])
     numbers = F.when(F.col("rest") > 0, F.sequence(F.lit(1).cast("long"), F.col("rest"))).otherwise(F.array().cast("array<long>"))
     drawn = F.transform(numbers, lambda j: draw(seed, "shard", F.col("shard").cast("string"), j.cast("string")) / F.lit(float(1 << BITS)))
     rows = rows.withColumn("n", F.col("whole") + F.size(F.filter(drawn, lambda u: (u >= F.col("lo")) & (u < F.col("hi")))))
-    rows = rows.withColumn("g", F.floor(F.col("shard") / SHARDS_TOGETHER)).select("__source", "__rank", "n_blocks", "shard", "g", "n")
+    rows = rows.withColumn("g", F.expr(f"shard div {SHARDS_TOGETHER}")).select("__rank", "n_blocks", "shard", "g", "n")
     return _running(rows, ["__rank"], "g", ["shard"], "n")
 
 
@@ -114,13 +117,13 @@ def mix_sources(
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), count_words(text_or_empty(text_col)).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("__h"))
     sizes = materialize(rows, "sizes")
-    targets = source_targets(sizes, factor, weights, most, block)
+    targets = materialize(source_targets(sizes, factor, weights, most, block), "targets")  # one row a source
     ranked = null_safe_join(sizes, targets, ["__source"])
     ranked = ranked.withColumn("chunk", F.pmod(draw(seed, "chunk", F.coalesce(F.col("__id").cast("string"), F.lit(""))), F.lit(CHUNKS)))
     plan = _running(ranked, ["__rank"], "chunk", ["__id", "size", "__h"], "size")
     counts = slot_counts(targets, slots, seed).filter("n > 0")
     picks = counts.withColumn("k", F.explode(F.expr("sequence(start, start + n - 1)"))).filter(F.col("k") < F.lit(int(most)) * F.col("n_blocks"))
-    picks = picks.withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
+    picks = picks.withColumn("epoch", F.expr("k div n_blocks"))
     picks = picks.withColumn("b", permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), seed, F.col("__rank").cast("string"), F.col("epoch").cast("string"))).select("__rank", "b", "epoch", "shard")
     spread = plan.filter("size > 0").withColumn("b", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spread = spread.select("__id", "__h", "__source", "__rank", "start", "size", "b", (F.greatest(F.col("start"), F.col("b") * block) - F.col("start")).alias("word_from"), (F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.col("start")).alias("word_to"))
