@@ -214,3 +214,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def learn_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all labelled documents outside the held-out fold."""
     return learn(docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)), lang_col, text_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", least_score: float = 0.3, penalty: float = 15.0) -> DataFrame:
+    """The rows of ``docs``, with its columns, whose language is told with at least ``least_score``; a null ``lang_col`` gets it.
+
+    Rows are filtered where they are read, nothing is shuffled. A text without a letter goes. Null ids, repeated rows and other
+    columns, whatever their names, pass through.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
+            found = list(label(m, texts, penalty))
+            columns = batch.columns
+            if lang_col:
+                columns[lang_at] = pa.array([old if old is not None or f[0] < 0 else m.langs[f[0]] for old, f in zip(batch.column(lang_at).to_pylist(), found, strict=True)], pa.string()).cast(batch.column(lang_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f[0] >= 0 and f[1] >= least_score for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
