@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, factor: float = 1.5, weights: tuple[int, ..
     return src.select("__source", "__rank", "source_size", "target", n.alias("n_blocks"), need.alias("need"))
 
 
-def slot_counts(targets: DataFrame, slots: int = 1024, seed: str = "mix") -> DataFrame:
+def slot_counts(targets: DataFrame, slots: int = 4096, seed: str = "mix") -> DataFrame:
     """Rows (__rank of the source, shard, start, n): how many slots of a shard a source fills, and its slots before."""
     every = Window.partitionBy(F.lit(1))
     t = targets.withColumn("all", F.round(F.sum("need").over(every)).cast("long")).withColumn("p", F.coalesce(F.try_divide(F.col("need"), F.sum("need").over(every)), F.lit(0.0)))
@@ -101,7 +101,7 @@ def _running(rows: DataFrame, keys: list[str], group: str, order: list[str], val
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 64, slots: int = 1024, seed: str = "mix"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 64, slots: int = 4096, seed: str = "mix"
 ) -> tuple[DataFrame, DataFrame]:
     """(plan, pieces) of the mix of all words of ``docs``.
 
