@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,12 @@ class Graph:
         """(node, component): the smallest node of its component."""
 
         def make() -> DataFrame:
+            if not self.group and self.fits:
+                g = self.local()
+                part = g.parts()
+                first = np.full(part.max(initial=-1) + 1, g.n)
+                np.minimum.at(first, part, np.arange(g.n))
+                return self.table(component=[g.names[i] for i in first[part]])
             found = connected_components(self.links, group=self.group)
             return found if self.isolated is None else self.degrees.select(*self.keys, "node").join(found, [*self.keys, "node"], "left").select(*self.keys, "node", F.coalesce("component", "node").alias("component"))
 
@@ -97,6 +104,18 @@ class Graph:
     def m(self) -> int:
         return self._once("m", lambda: self.links.count())
 
+    @property
+    def fits(self) -> bool:
+        """Whether kernels on arrays may be used: the size is counted, not guessed."""
+        return self.m <= KERNEL_EDGES
+
+    def table(self, **columns) -> DataFrame:
+        """One row a node from arrays in the local graph's order."""
+        g = self.local()
+        kinds = {np.dtype(float): "double", np.dtype(np.int64): "long"}
+        schema = ", ".join(["node string", *[f"{c} {kinds.get(getattr(v, 'dtype', None), 'string')}" for c, v in columns.items()]])
+        return self.spark.createDataFrame(pd.DataFrame({"node": g.names, **columns}), schema)
+
     def local(self, what: str = "this kernel") -> LocalGraph:
         """The undirected projection as arrays, for kernels that can't be joins; its size is checked first."""
         if self.m > KERNEL_EDGES:
@@ -160,6 +179,27 @@ class LocalGraph:
             levels.append(np.unique(to))
         return dist, paths, levels[:-1]
 
+    def multiply(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The symmetric matrix with edge values ``x``, times a vector."""
+        return np.bincount(self.a, weights=x * y[self.b], minlength=self.n) + np.bincount(self.b, weights=x * y[self.a], minlength=self.n)
+
+    def strength(self) -> np.ndarray:
+        return self.multiply(self.weight, np.ones(self.n))
+
+    def cores(self) -> np.ndarray:
+        """Core numbers by peeling: take away all nodes of the smallest degree, level by level."""
+        degree = np.diff(self.start).astype(np.int64)
+        core, left = np.zeros(self.n, dtype=np.int64), np.ones(self.n, dtype=bool)
+        k = 0
+        while left.any():
+            k = max(k, int(degree[left].min()))
+            while (gone := np.flatnonzero(left & (degree <= k))).size:
+                core[gone] = k
+                left[gone] = False
+                _, to, _ = self.expand(gone)
+                np.subtract.at(degree, to, 1)
+        return core
+
     def parts(self, alive: np.ndarray | None = None, closed: int = -1) -> np.ndarray:
         """Component numbers, -1 for nodes that aren't alive; the first node in order has component 0."""
         out = np.full(self.n, -1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.graph import Graph, ratio
+from weftgraph.operators.graph import KERNEL_EDGES, Graph, LocalGraph, ratio
 from weftgraph.operators.paths import global_efficiency, largest_component_paths
 from weftgraph.plans.shared import materialize
 
@@ -131,15 +133,29 @@ def network_statistics_table(graph: Graph, communities: DataFrame | None = None)
     return long_form(row, list(MEANINGS)).withColumn("interpretation", meaning[F.col("metric")])
 
 
+def _walked(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+    """Components and the sum of 1 / hops of one graph, whose size was checked."""
+    names = sorted(set(e["src"]) | set(e["dst"]))
+    at = {x: i for i, x in enumerate(names)}
+    g = LocalGraph(names, e["src"].map(at).to_numpy(), e["dst"].map(at).to_numpy(), e["weight"].to_numpy())
+    sizes = np.bincount(g.parts())
+    return pd.DataFrame({"graph": [key[0]], "components": [sizes.size], "largest_component_fraction": [sizes.max() / g.n], "inverse": [g.efficiency() * g.n * (g.n - 1)]})
+
+
 def graph_feature_table(graphs: Graph) -> DataFrame:
     """Twelve features of every graph of a collection: the same pipelines, with the graph in each key.
 
-    Hop distances run as frontier joins keyed by graph; all graphs are walked in the same rounds.
+    Hops of graphs up to a checked size are walked one graph a group; beyond it as frontier joins keyed by graph.
     """
     from weftgraph.operators.paths import all_pairs
 
     k = graphs.keys
-    inverse = all_pairs(graphs).filter("d > 0").groupBy(*k).agg(F.sum(1.0 / F.col("d")).alias("inverse"))
-    row = _joined(graphs, counts(graphs), degree_measures(graphs), clustering_measures(graphs), assortativity(graphs), component_measures(graphs), inverse)
+    largest = counts(graphs).agg(F.max("edges")).first()[0] or 0
+    if largest <= KERNEL_EDGES:
+        walked = graphs.links.groupBy(*k).applyInPandas(_walked, f"graph string, components long, largest_component_fraction double, inverse double")
+        tables = (walked.withColumnRenamed("graph", k[0]),)
+    else:
+        tables = (component_measures(graphs), all_pairs(graphs).filter("d > 0").groupBy(*k).agg(F.sum(1.0 / F.col("d")).alias("inverse")))
+    row = _joined(graphs, counts(graphs), degree_measures(graphs), clustering_measures(graphs), assortativity(graphs), *tables)
     n = F.col("nodes")
     return row.select(*k, n.cast("double").alias("nodes"), F.col("edges").cast("double").alias("edges"), "density", "average_degree", "degree_std", F.col("maximum_degree").cast("double").alias("maximum_degree"), F.col("average_unweighted").alias("average_clustering"), "transitivity", F.nanvl("degree_assortativity", F.lit(0.0)).alias("assortativity"), F.col("components").cast("double").alias("components"), "largest_component_fraction", ratio(F.col("inverse"), n * (n - 1)).alias("global_efficiency"))

@@ -14,11 +14,17 @@ from weftgraph.plans.shared import materialize
 
 
 def core_numbers(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
-    """(node, core): h-index iteration. Each round a node takes the largest h such that h neighbours have h or more.
+    """(node, core): peeling on arrays up to a checked size, beyond it h-index iteration. Each round a node takes the largest h such that h neighbours have h or more.
 
     The values fall from the degrees to the core numbers (Lü et al. 2016). A hub's neighbours are first counted by value,
     capped at its own value, so the window runs over distinct values, not over neighbours.
     """
+    if graph.fits:
+        return graph.table(core=graph.local().cores())
+    return _cores_by_join(graph, max_rounds)
+
+
+def _cores_by_join(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     both = materialize(graph.both.select("u", "v"), "arcs")
     core = materialize(graph.degrees.select("node", F.col("degree").alias("core")), "core")
     for _ in range(max_rounds):
