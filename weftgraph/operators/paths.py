@@ -45,7 +45,7 @@ def _sums_by_join(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     for d in range(deepest, 0, -1):
         down = below.select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
         up = pairs.filter(F.col("d") == d - 1).select("s", "v", "paths")
-        step = up.join(both.withColumnsRenamed({"u": "v", "v": "w"}), "v").join(down, ["s", "w"]).withColumn("part", F.col("paths") * F.col("share"))
+        step = up.join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").join(down, ["s", "w"]).withColumn("part", F.col("paths") * F.col("share"))
         flow = materialize(step.select("s", "v", "w", "part"), "flow")
         edge_parts.append(flow.select(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"), "part"))
         sums = flow.groupBy("s", "v").agg(F.sum("part").alias("delta"))
