@@ -145,11 +145,11 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text
 
     A document whose words are all taken in an epoch keeps its text as it is; parts are joined by one space.
     """
-    parts = pieces.groupBy(id_col, "__h", "__source", "start", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("__parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("__n"))
-    parts = parts.withColumnRenamed(id_col, "__pid")
+    own = pieces.select(F.col(id_col).alias("__pid"), "__h", F.col("__source").alias("__psource"), F.col("start").alias("__start"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), "word_from", "word_to")
+    parts = own.groupBy("__pid", "__h", "__psource", "__start", "__size", "__epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("__parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("__n"))
     rows = docs.withColumn("__th", F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, "__th", source_col])
-    both = rows.join(parts, rows[id_col].eqNullSafe(parts["__pid"]) & (rows["__th"] == parts["__h"]) & rows[source_col].eqNullSafe(parts["__source"]))
+    both = rows.join(parts, rows[id_col].eqNullSafe(parts["__pid"]) & (rows["__th"] == parts["__h"]) & rows[source_col].eqNullSafe(parts["__psource"]))
     words = F.filter(F.split(text_or_empty(text_col), SPACE_RUN), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")))), " ")
-    both = both.withColumn("__words", F.when(F.col("__n") < F.col("size"), words)).withColumn("__mixed", F.when(F.col("__n") >= F.col("size"), F.col(text_col)).otherwise(some))
+    both = both.withColumn("__words", F.when(F.col("__n") < F.col("__size"), words)).withColumn("__mixed", F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(some))
     return both.select(*[F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
