@@ -144,7 +144,7 @@ def test_pii(spark, docs, rows, none):
         "ip 10[.]2[.]3[.]4": "10[.]2[.]3[.]4",
         "mail bоb@exаmple.com": "bоb@exаmple.com",
         "＋１ (９８８) ５５５-２４８５": "＋１ (９８８) ５５５-２４８５",
-        "é a​nn@ex.org": "a​nn@ex.org",
+        "é ann@e​x.org": "ann@e​x.org",
     }
     for t, want in hidden.items():
         assert [t[a:b] for a, _, b in pii.hidden_spans(t, pii.find_spans(t))] == [want], t
@@ -185,7 +185,8 @@ def test_language(spark, none):
         by.setdefault(r["doc_id"], []).append(r)
     assert all(by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0 for i in (1, 2, 3)) and by[4][0]["lang_pred"] in model.langs and len(by[5]) == 2
     mixed = max(by[5], key=lambda r: len(r["spans"]))
-    assert [s["lang"] for s in mixed["spans"]] == ["en", "ru"] and mixed["spans"][-1]["end"] == len(odd.filter("doc_id = 5").orderBy(odd.text.desc()).collect()[-1]["text"]) or len(mixed["spans"]) == 2
+    assert [s["lang"] for s in mixed["spans"]] == ["en", "ru", "en"] and mixed["spans"][0]["start"] == 0
+    assert mixed["spans"][-1]["end"] == max(len(r["text"]) for r in odd.filter("doc_id = 5").collect())
     assert all(0 <= r["score"] <= 1 for rs in by.values() for r in rs)
     empty = language.learn_held_out(none)
     assert empty.langs == [] and {r["lang_pred"] for r in language.identify(odd, empty).collect()} == {"und"}
@@ -347,10 +348,10 @@ def test_unigram_stream_equals_whole_search():
     class Toy:
         bpe, longest, none, worst = False, 4, -1, -20.0
         names = ["a", "b", "ab", "ba", "aba", "bb", "abab"]
-        ids = {x: i for i, x in enumerate(names)}
+        ids = {x: i for i, x in enumerate(["a", "b", "ab", "ba", "aba", "bb", "abab"])}
         lengths = list(map(len, names))
         scores = [-1.0, -1.3, -1.9, -2.2, -2.4, -2.0, -3.9]
-        heads = {x[:k] for x in names for k in range(1, len(x) + 1)}
+        heads = {x[:k]: -1 for x in ["a", "b", "ab", "ba", "aba", "bb", "abab"] for k in range(1, len(x) + 1)} | ids
 
     rng = random.Random(4)
     for _ in range(300):

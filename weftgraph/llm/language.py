@@ -133,10 +133,11 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The language of each word (rows) on the path with the best sum of scores less penalties."""
     n, k = scores.shape
     top = int(scores.sum(axis=0).argmax())
-    # If no stretch gains more than one penalty in any other language, no change pays and the path stays.
+    # If no stretch gains more than half a penalty in any other language, no change pays: a path of m stretches,
+    # even one that never has the top language, gains at most m / 2 penalties and pays m - 1.
     gain = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, top : top + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(n, top)
     back = np.empty((n, k), dtype=np.int16)
     value, own = scores[0].astype(float), np.arange(k)
