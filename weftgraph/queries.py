@@ -215,6 +215,10 @@ ew AS (
 ), eh AS (SELECT x, y, s, v, min(d) AS d FROM ew GROUP BY x, y, s, v),
 ec AS (SELECT x, y, s, min(v) AS component FROM eh GROUP BY x, y, s),
 ez AS (SELECT x, y, count(*) AS components, max(n) AS largest FROM (SELECT x, y, component, count(*) AS n FROM ec GROUP BY 1, 2, 3) GROUP BY x, y)"""
+_CORES = """
+cr AS (SELECT 0 AS i, node, degree AS core FROM s_d
+  UNION ALL SELECT i + 1, u, max(least(rn, near)) FROM (
+    SELECT a.i, e.u, a.core AS near, row_number() OVER (PARTITION BY e.u ORDER BY a.core DESC) AS rn FROM cr a JOIN s_s e ON a.node = e.v WHERE a.i < 60) GROUP BY i, u)"""
 _DAILY = """
 g_raw AS (
   SELECT graph, CAST(user_id AS VARCHAR) AS source, weight, CAST(target AS VARCHAR) AS target FROM (
@@ -276,10 +280,10 @@ pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / (SELECT count(*) FROM p_d) AS r FROM p
 ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM p_d
   UNION ALL SELECT i, node, y / sqrt(sum(y * y) OVER ()) FROM (
     SELECT a.i + 1 AS i, e.v AS node, sum(a.x * e.weight) AS y FROM ev a JOIN (SELECT u, v, weight FROM p_s UNION ALL SELECT node, node, 1.0 FROM p_d) e ON a.node = e.u WHERE a.i < 400 GROUP BY a.i, e.v))"""], "SELECT node, round(x, 5) AS eigenvector FROM ev WHERE i = 400"),
-    "core_numbers": _q([_S, """
-cr AS (SELECT 0 AS i, node, degree AS core FROM s_d
-  UNION ALL SELECT i + 1, u, max(least(rn, near)) FROM (
-    SELECT a.i, e.u, a.core AS near, row_number() OVER (PARTITION BY e.u ORDER BY a.core DESC) AS rn FROM cr a JOIN s_s e ON a.node = e.v WHERE a.i < 60) GROUP BY i, u)"""], "SELECT node, core FROM cr WHERE i = 60"),
+    "core_numbers": _q([_S, _CORES], "SELECT node, core FROM cr WHERE i = 60"),
+    "core_periphery": _q([_S, _CORES], """
+SELECT node, core AS core_number, round(core / top, 6) AS core_score, CASE WHEN core = top THEN 'maximal core' WHEN core / top >= 0.5 THEN 'inner shell' ELSE 'periphery' END AS role, degree
+FROM (SELECT node, core, max(core) OVER () AS top FROM cr WHERE i = 60) JOIN s_d USING (node)"""),
     "bridges": _q([_S, _reach("s"), """
 bw AS (SELECT src AS x, dst AS y, src AS v FROM s UNION SELECT w.x, w.y, e.v FROM bw w JOIN s_s e ON w.v = e.u WHERE NOT (e.u = w.x AND e.v = w.y) AND NOT (e.u = w.y AND e.v = w.x))"""],
         "SELECT src AS source, dst AS target, (SELECT count(DISTINCT component) FROM s_cc) + 1 AS components_after_removal FROM s WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.x = s.src AND bw.y = s.dst AND bw.v = s.dst)"),
