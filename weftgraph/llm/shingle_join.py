@@ -28,6 +28,8 @@ _BYTES = np.random.default_rng(20240229).integers(1, 1 << 62, 256, dtype=np.uint
 LEAF, FAN = 16, 8  # sets in a leaf, children of a node
 TILE = 2000  # members of a group that one task compares with as many others
 MEMBERS_AT_ONCE = 1 << 20
+SLOTS = 1 << 22
+LINK = "src long, dst long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,9 +87,9 @@ def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return (percent * n + 99) // 100
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """A bit for each element, in the power of two of bits that isn't below their number (64 at least)."""
-    bits = max(64, 1 << (int(h.size) - 1).bit_length())
+def bitmap(h: np.ndarray, room: int = 2) -> np.ndarray:
+    """A bit for each element, in ``room`` times the power of two that isn't below their number (64 bits at least)."""
+    bits = max(64, room << (int(h.size) - 1).bit_length())
     at = (h >> _U(20)) & _U(bits - 1)
     out = np.zeros(bits, dtype=np.uint8)
     out[at.astype(np.int64)] = 1
@@ -149,8 +151,11 @@ def compare_tree(bits: np.ndarray, sizes: np.ndarray, percent: int, check: Calla
             continue
         i, j = np.arange(x * LEAF, min((x + 1) * LEAF, m)), np.arange(y * LEAF, min((y + 1) * LEAF, m))
         both = np.bitwise_count(bits[i][:, None, :] & bits[j][None, :, :]).sum(axis=2).astype(np.int64)
-        fit = (both >= (ones[i] - slack[i])[:, None]) & (both >= (ones[j] - slack[j])[None, :])
-        fit &= percent * np.maximum(sizes[i][:, None], sizes[j][None, :]) <= 100 * np.minimum(sizes[i][:, None], sizes[j][None, :])
+        si, sj = sizes[i][:, None], sizes[j][None, :]
+        # The overlap that this pair of sizes needs; a bit of one that the other lacks is an element outside.
+        least = (percent * (si + sj) + 99 + percent) // (100 + percent)
+        fit = (both >= ones[i][:, None] - si + least) & (both >= ones[j][None, :] - sj + least)
+        fit &= percent * np.maximum(si, sj) <= 100 * np.minimum(si, sj)
         fit &= i[:, None] < j[None, :]
         if fit.any():
             check(i, j, fit)
@@ -200,6 +205,23 @@ def _signature(keys: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def tiled(groups: DataFrame) -> DataFrame:
+    """(g, id) of (g, id, m): groups of over TILE members become one group for each pair of their tiles."""
+    t = groups.withColumn("tiles", F.expr(f"(m + {TILE - 1}) div {TILE}"))
+    t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    pair = F.when(F.col("tiles") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("tile", "other"), F.greatest("tile", "other")))
+    return t.select(pair.alias("g"), "id")
+
+
+def _stars(ids: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
+    """Links (src, dst) from the smallest id of each joined class to its others."""
+    order = np.lexsort((ids, forest.label))
+    label, own = forest.label[order], ids[order]
+    head = np.maximum.accumulate(np.where(np.diff(label, prepend=-1) != 0, np.arange(label.size), 0))
+    some = own[head] != own
+    return pa.RecordBatch.from_arrays([pa.array(own[head][some]), pa.array(own[some])], names=["src", "dst"]) if some.any() else None
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, sample_docs: int = 4000, common_in: int = 8, common_most: int = 1 << 16) -> DataFrame:
     """Each row of ``docs`` as id, n_shingles, component_id: the smallest id reachable over links.
 
@@ -209,7 +231,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty table gives no rows; other columns are ignored. ids are integers.
 
     Equal sets collapse into their smallest id first, so copies cost one row each. ``sample_docs`` bounds the sample that finds
-    common shingles; it only decides an order, no result depends on it. Groups over TILE members are dealt over pairs of tiles.
+    common shingles; it only decides an order, no result depends on it. Pairs that the trees leave tie documents to clusters; each
+    cluster is verified on whole sets, sent once a document. Groups and clusters over TILE members are dealt over pairs of tiles.
     """
     spark = docs.sparkSession
     parts = spark.conf.get("spark.sql.shuffle.partitions")
@@ -251,8 +274,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *signed, lists, pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "prefix", "bits"])
 
     sigs = materialize(rows.mapInArrow(signatures, sig_schema), "sets")
-    reps = sigs.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    chosen = materialize(sigs.filter("n > 0 and id is not null").join(reps.filter("rep is not null").withColumnRenamed("rep", "id"), ["n", "k1", "k2", "id"], "left_semi").dropDuplicates(["id", "k1", "k2"]), "chosen")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "prefix", "bits")))
+    chosen = materialize(sigs.filter("n > 0").groupBy("n", "k1", "k2").agg(first.alias("r")).select("n", "k1", "k2", F.col("r.id").alias("rep"), F.col("r.prefix").alias("prefix"), F.col("r.bits").alias("bits")), "chosen")
+    reps = chosen.select("n", "k1", "k2", "rep")
+    own = chosen.filter("rep is not null").withColumnRenamed("rep", "id")
 
     # Groups: documents with a prefix element in common, once for each different set of members.
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +290,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         done.add(s)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(ids.size, s)), pa.array(ids), pa.array(np.full(ids.size, ids.size))], names=["g", "id", "m"])
 
-    heads = chosen.select(F.explode("prefix").alias("h"), "id").repartition(int(parts), "h").sortWithinPartitions("h")
+    heads = own.select(F.explode("prefix").alias("h"), "id").repartition(int(parts), "h").sortWithinPartitions("h")
     grouped = heads.mapInArrow(_packed(meet), "g long, id long, m long").distinct()
-    tiles = F.expr(f"(m + {TILE - 1}) div {TILE}")
-    grouped = grouped.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    grouped = grouped.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    pair = F.when(F.col("tiles") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("tile", "other"), F.greatest("tile", "other")))
-    members = grouped.select(pair.alias("g"), "id").join(chosen.select("id", "n", "bits"), "id").select("g", "id", "n", "bits")
+    members = tiled(grouped).join(own.select("id", "n", "bits"), "id").select("g", "id", "n", "bits")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches):
@@ -284,23 +305,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     forest.join(int(i[a]), int(j[b]))
 
             by_size_class([np.frombuffer(b, dtype=np.uint64) for b in g.column(3).to_pylist()], sizes, percent, check, forest)
-            order = np.argsort(forest.label, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(forest.label[order])) + 1):
-                own_ids = np.unique(ids[own])
-                if own.size > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own_ids.size, _signature(own_ids))), pa.array(own_ids)], names=["g", "id"])
+            found = _stars(ids, forest)
+            if found is not None:
+                yield found
+
+    likely = materialize(members.repartition(int(parts), "g").sortWithinPartitions("g").mapInArrow(_packed(candidates), LINK).distinct(), "likely")
+    clusters = connected_components(likely)
+    size = clusters.groupBy("component").agg(F.count("*").alias("m"))
+    clusters = materialize(tiled(clusters.join(size, "component").select(F.xxhash64("component").alias("g"), F.col("node").alias("id"), "m")), "clusters")
+
+    # Verification on whole sets, which are made again for the documents that are left. A bitmap of fixed size tells them: a chance hit costs a set.
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    marks = clusters.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    flags = np.zeros(SLOTS, dtype=np.uint8)
+    flags[marks] = 1
+    wanted = spark.sparkContext.broadcast(np.packbits(flags))
 
-    likely = materialize(members.repartition(int(parts), "g").sortWithinPartitions("g").mapInArrow(_packed(candidates), "g long, id long").distinct(), "likely")
-
-    # Verification on whole sets, which are made again for the documents that are left.
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value)
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            hit = b.filter(pa.array(bits[b.column(1).to_numpy()] == 1))
+            for a in range(0, hit.num_rows, 256):
+                part = hit.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in part.column(2).to_pylist()], pa.binary())], names=["id", "hashes"])
 
-    wanted = rows.withColumnRenamed("__id", "id").join(likely.select("id").distinct(), "id", "left_semi")
-    sets = wanted.mapInArrow(whole, "id long, hashes binary").join(likely, "id").select("g", "id", "hashes")
+    texts = rows.filter("__id is not null").select(F.col("__id").alias("id"), "__text").select("id", slot.alias("slot"), "__text")
+    sets = texts.mapInArrow(whole, "id long, hashes binary").join(clusters, "id").select("g", "id", "hashes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches):
@@ -321,18 +351,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         if 100 * both >= percent * (small.size + large.size - both):
                             forest.join(x, y)
 
-            by_size_class([bitmap(h) for h in hashes], sizes, percent, check, forest)
-            first = {}
-            a, b = [], []
-            for k in np.argsort(ids, kind="stable"):
-                root = first.setdefault(int(forest.label[k]), int(ids[k]))
-                if root != ids[k]:
-                    a.append(root)
-                    b.append(int(ids[k]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+            by_size_class([bitmap(h, 8) for h in hashes], sizes, percent, check, forest)
+            found = _stars(ids, forest)
+            if found is not None:
+                yield found
 
-    links = materialize(sets.repartition(int(parts), "g").sortWithinPartitions("g", "id").mapInArrow(_packed(verify), "src long, dst long").distinct(), "pairs")
+    links = materialize(sets.repartition(int(parts), "g").sortWithinPartitions("g", "id").mapInArrow(_packed(verify), LINK).distinct(), "pairs")
     # A document whose rows hold several sets ties their classes together.
     ties = sigs.filter("n > 0").select("id", "n", "k1", "k2").distinct().groupBy("id").agg(F.count("*").alias("c")).filter("c > 1 and id is not null").select("id")
     tied = salted_join(sigs.filter("n > 0").join(ties, "id", "left_semi").select("id", "n", "k1", "k2"), reps, ["n", "k1", "k2"], ["id"]).filter("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
