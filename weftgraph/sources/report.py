@@ -80,7 +80,7 @@ def manifest(spark: SparkSession, summary: dict, parameters: dict, *, primary: s
 
 
 def settings_json(summary: dict, parameters: dict, *, source: str, directed: bool) -> str:
-    return json.dumps({"software": "weftgraph", "version": __version__, "source": source, "directed": directed, "parameters": parameters, "summary": summary}, indent=2, sort_keys=True)
+    return json.dumps({"software": "weftgraph", "version": __version__, "source": source, "directed_input_projected_to_undirected": directed, "analysis": parameters, "network": summary}, indent=2, sort_keys=True)
 
 
 def methods_text(summary: dict, parameters: dict, *, directed: bool) -> str:
