@@ -12,7 +12,6 @@ each neighbouring pair is, so every boundary has one valid last piece, and the p
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -31,6 +30,7 @@ _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Words whose ids a worker keeps; when full the store starts anew. A bound on memory, not on results.
 MEMO_WORDS, MEMO_PAIRS = 700_000, 700_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+DONE = float("-inf")
 
 
 class Model:
@@ -51,10 +51,12 @@ class Model:
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.longest = max(map(len, self.ids))
         self.worst = min(self.scores) - 10.0
-        heads: set[str] = set()
+        #: What a piece can start with, and the piece's id if it is one itself, else -1.
+        self.heads: dict[str, int] = {}
         for name in self.ids:
-            heads.update(name[:k] for k in range(1, len(name) + 1))
-        self.heads = heads
+            for k in range(1, len(name)):
+                self.heads.setdefault(name[:k], -1)
+            self.heads[name] = self.ids[name]
         #: A piece with a space mark after another character would let words run into each other.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lengths = list(map(len, self.names))
@@ -62,38 +64,54 @@ class Model:
         self.surface = [bytes([int(n[3:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == 3 else n.encode() for n, k in zip(self.names, self.kinds, strict=True)]
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.grown: dict[int, tuple[list[float], list[str], list[str]]] = {}
 
     def apart(self, a: int, b: int) -> bool:
-        """Whether merging leaves the pieces ``a`` and ``b``, side by side, as they are."""
-        if (known := self.pairs.get(a << 32 | b)) is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+        """Whether merging leaves the pieces ``a`` and ``b``, side by side, as they are.
+
+        Each grows by itself, merge by merge, until a merge across their border would come first.
+        """
+        if (known := self.pairs.get(a << 32 | b)) is not None:
+            return known
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        (own, ends, _), (other, _, begins) = self.growth(a), self.growth(b)
+        i = j = 0
+        while True:
+            here, there = own[i], other[j]
+            k = self.ids.get(ends[i] + begins[j])
+            if k is not None and self.scores[k] > here and self.scores[k] >= there:
+                known = False
+                break
+            if here == there == DONE:
+                known = True
+                break
+            if here >= there:
+                i += 1
+            else:
+                j += 1
+        self.pairs[a << 32 | b] = known
         return known
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces after repeatedly merging the best neighbours; used on pairs of pieces only."""
-        parts: list[str | None] = list(text)
-        after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts) and (k := self.ids.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-self.scores[k], i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or parts[i] + (parts[j] or "") != both:
-                continue
-            parts[i], parts[j], after[i] = both, None, after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [p for p in parts if p is not None]
+    def growth(self, k: int) -> tuple[list[float], list[str], list[str]]:
+        """How a piece comes about from its characters: the score of each next merge (DONE after the last), and the
+        piece at its right and at its left end before it. The best merge comes first, of equals the leftmost."""
+        if (known := self.grown.get(k)) is None:
+            parts = list(self.names[k])
+            merges, ends, begins = [], [parts[-1]], [parts[0]]
+            while True:
+                best, at = DONE, -1
+                for i in range(len(parts) - 1):
+                    if (m := self.ids.get(parts[i] + parts[i + 1])) is not None and self.scores[m] > best:
+                        best, at = self.scores[m], i
+                merges.append(best)
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                ends.append(parts[-1])
+                begins.append(parts[0])
+            known = self.grown[k] = (merges, ends, begins)
+        return known
 
 
 def stream(model: Model, text: str) -> Iterator[int]:
@@ -132,10 +150,9 @@ def stream(model: Model, text: str) -> Iterator[int]:
                     best, base = {k: v for k, v in best.items() if k >= shared}, shared
         before, value = last[s], best[s]
         for e in range(s + 1, min(n, s + longest) + 1):
-            piece = text[s:e]
-            if piece not in heads:
+            if (k := heads.get(text[s:e])) is None:
                 break
-            if (k := ids.get(piece)) is None:
+            if k < 0:
                 continue
             if bpe:
                 if e not in last and (before < 0 or model.apart(before, k)):
@@ -150,10 +167,34 @@ def stream(model: Model, text: str) -> Iterator[int]:
     yield from path(n)
 
 
+def short(model: Model, text: str) -> list[int]:
+    """What ``stream`` gives for a BPE model and a stretch that fits its window, where all survivors converge at the end at the latest."""
+    n, heads, longest, pairs, unset = len(text), model.heads, model.longest, model.pairs, -(1 << 40)
+    last = [unset] * (n + 1)
+    last[0] = model.none
+    for s in range(n):
+        if (before := last[s]) == unset:
+            continue
+        for e in range(s + 1, min(n, s + longest) + 1):
+            if (k := heads.get(text[s:e])) is None:
+                break
+            if k >= 0 and last[e] == unset:
+                if before >= 0 and (ok := pairs.get(before << 32 | k)) is not True and (ok is False or not model.apart(before, k)):
+                    continue
+                last[e] = k
+        if last[s + 1] == unset and text[s] not in model.ids:
+            last[s + 1] = -1 - ord(text[s])
+    out, at = [], n
+    while at:
+        out.append(last[at])
+        at -= model.lengths[last[at]] if last[at] >= 0 else 1
+    return out[::-1]
+
+
 def encode_stretch(model: Model, text: str) -> bytes:
     """Ids of a stretch, as the bytes of 32-bit numbers."""
     out = array("i")
-    for k in stream(model, text):
+    for k in short(model, text) if model.bpe and len(text) <= 4 * model.longest else stream(model, text):
         if k >= 0:
             out.append(k)
         elif model.bytes:
