@@ -150,6 +150,8 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text
     rows = docs.withColumn("__th", F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, "__th", source_col])
     both = rows.join(parts, rows[id_col].eqNullSafe(parts["__pid"]) & (rows["__th"] == parts["__h"]) & rows[source_col].eqNullSafe(parts["__psource"]))
     words = F.filter(F.split(text_or_empty(text_col), SPACE_RUN), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")))), " ")
-    both = both.withColumn("__words", F.when(F.col("__n") < F.col("__size"), words)).withColumn("__mixed", F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(some))
+    # The words are bound once; a plain reference inside the inner lambda would split the text for each part.
+    cut = lambda w: F.flatten(F.transform("__parts", lambda p: F.slice(w, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int"))))
+    some = F.array_join(F.element_at(F.transform(F.array(words), cut), 1), " ")
+    both = both.withColumn("__mixed", F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(some))
     return both.select(*[F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
