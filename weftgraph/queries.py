@@ -123,15 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "community_sizes": lambda s, d: communities.community_sizes(communities.community_table(purchases(s, d))),
     "rich_club_curve": lambda s, d: rounded(richclub.rich_club_curve(purchases(s, d)).table),
     "differential_communities": lambda s, d: compare.differential_community_analysis(purchases(s, d), clicks(s, d))[1],
-    "differential_rich_club": lambda s, d: rounded(richclub.differential_rich_club(purchases(s, d), clicks(s, d), randomizations=10)),
-    "robustness_curve": lambda s, d: rounded(perturb.robustness_band(perturb.robustness_curve(sparse(s, d), random_repeats=10))),
+    "differential_rich_club": lambda s, d: rounded(richclub.differential_rich_club(purchases(s, d), clicks(s, d))),
+    "robustness_curve": lambda s, d: rounded(perturb.robustness_band(perturb.robustness_curve(sparse(s, d)))),
     "spectral_embedding": lambda s, d: rounded(embed.spectral_embedding(purchases(s, d))),
-    "node_prediction": lambda s, d: (lambda g: rounded(learn.node_prediction(g, _labels(s, g), trees=50)[1]))(sparse(s, d)),
-    "learned_link_prediction": lambda s, d: rounded(learn.learned_link_prediction(sparse(s, d), trees=50)[1]),
-    "graph_classification": lambda s, d: rounded(learn.graph_classification(*generated.demo_graph_dataset(s), trees=50)[1]),
-    "neural_node_prediction": lambda s, d: (lambda g: rounded(gnn.neural_node_prediction(g, _labels(s, g), epochs=60)[1]))(sparse(s, d)),
-    "neural_link_prediction": lambda s, d: rounded(gnn.neural_link_prediction(sparse(s, d), epochs=60)[1]),
-    "neural_graph_classification": lambda s, d: rounded(gnn.neural_graph_classification(*generated.demo_graph_dataset(s), epochs=30)[1]),
+    "node_prediction": lambda s, d: (lambda g: rounded(learn.node_prediction(g, _labels(s, g))[1]))(sparse(s, d)),
+    "learned_link_prediction": lambda s, d: rounded(learn.learned_link_prediction(sparse(s, d))[1]),
+    "graph_classification": lambda s, d: rounded(learn.graph_classification(*generated.demo_graph_dataset(s))[1]),
+    "neural_node_prediction": lambda s, d: (lambda g: rounded(gnn.neural_node_prediction(g, _labels(s, g))[1]))(sparse(s, d)),
+    "neural_link_prediction": lambda s, d: rounded(gnn.neural_link_prediction(sparse(s, d))[1]),
+    "neural_graph_classification": lambda s, d: rounded(gnn.neural_graph_classification(*generated.demo_graph_dataset(s))[1]),
     "demo_graphs": lambda s, d: generated.demo_graph_dataset(s)[0].edges,
     "navigator": lambda s, d: rounded(report.navigator(s)),
 }
