@@ -154,8 +154,9 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def label(model: Model, texts: list[bytes], penalty: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-    """For each text the language's number (-1: none), its score and its spans (start, end, language) in code points."""
+def label(model: Model, texts: list[bytes], penalty: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]], float]]:
+    """For each text the language's number (-1: none), its score, its spans (start, end, language) in code points, and how
+    certain these are: the mean of each span's probability in its own language, by letters."""
     k = len(model.langs)
     for a, b in _parts(texts):
         w = split_words(texts[a:b])
@@ -168,7 +169,7 @@ def label(model: Model, texts: list[bytes], penalty: float) -> Iterator[tuple[in
         for i in range(b - a):
             lo, hi = w.first[i], w.first[i + 1]
             if not k or lo == hi or not any(map(str.isalpha, texts[a + i].decode("utf-8", "replace"))):
-                yield -1, 0.0, []
+                yield -1, 0.0, [], 0.0
                 continue
             own, sizes = scores[lo:hi], w.sizes[lo:hi]
             path = best_path(own, penalty)
@@ -180,7 +181,13 @@ def label(model: Model, texts: list[bytes], penalty: float) -> Iterator[tuple[in
             origin = w.code_points[w.offsets[i]] - 1
             at = [0, *(int(w.code_points[w.starts[lo + c]] - 1 - origin) for c in cuts), int(w.code_points[w.offsets[i + 1] - 1] - 1 - origin)]
             spans = [(at[c], at[c + 1], int(path[s])) for c, s in enumerate([0, *cuts])]
-            yield lang, float(min(1.0, sure * weight[lang] / weight.sum())), spans
+            certain = sure
+            if cuts.size:
+                starts = np.array([0, *cuts])
+                totals = np.add.reduceat(own, starts, axis=0, dtype=float)
+                told = totals[np.arange(starts.size), path[starts]]
+                certain = (np.add.reduceat(sizes, starts) / np.exp(np.minimum(totals - told[:, None], 700)).sum(axis=1)).sum() / weight.sum()
+            yield lang, float(min(1.0, sure * weight[lang] / weight.sum())), spans, float(certain)
 
 
 def held_out(id_col: str, folds: int = 4, fold: int = 2) -> Column:
@@ -218,7 +225,7 @@ def learn_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", least_score: float = 0.3, penalty: float = 15.0) -> DataFrame:
-    """The rows of ``docs``, with its columns, whose language is told with at least ``least_score``; a null ``lang_col`` gets it.
+    """The rows of ``docs``, with its columns, whose spans are told with at least ``least_score``, whatever share a language has; a null ``lang_col`` gets that of most letters.
 
     Rows are filtered where they are read, nothing is shuffled. A text without a letter goes. Null ids, repeated rows and other
     columns, whatever their names, pass through.
@@ -234,6 +241,6 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
             columns = batch.columns
             if lang_col:
                 columns[lang_at] = pa.array([old if old is not None or f[0] < 0 else m.langs[f[0]] for old, f in zip(batch.column(lang_at).to_pylist(), found, strict=True)], pa.string()).cast(batch.column(lang_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f[0] >= 0 and f[1] >= least_score for f in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f[0] >= 0 and f[3] >= least_score for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
