@@ -12,9 +12,6 @@ from weftgraph.operators import centrality, communities, compare, embed, gnn, le
 from weftgraph.operators.graph import Graph
 from weftgraph.sources import edges, generated, report
 
-#: Only the SQL still stops here; the queries read all error events.
-SPARSE = "2024-01-04"
-
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to ``digits`` places, whole numbers as 64-bit: the same on any engine."""
@@ -137,19 +134,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _edges(name: str, kind: str, before: str | None = None, ends: str = "least(source, target) AS src, greatest(source, target) AS dst") -> str:
-    limit = f" AND ts < TIMESTAMP '{before}'" if before else ""
+def _edges(name: str, kind: str, ends: str = "least(source, target) AS src, greatest(source, target) AS dst") -> str:
     return f"""
 {name}_raw AS (
   SELECT CAST(user_id AS VARCHAR) AS source, weight, CAST(target AS VARCHAR) AS target FROM (
     SELECT user_id, value AS weight, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS target
-    FROM events WHERE event_type = '{kind}'{limit}) WHERE target IS NOT NULL
+    FROM events WHERE event_type = '{kind}') WHERE target IS NOT NULL
 ), {name} AS (SELECT {ends}, sum(weight) AS weight FROM {name}_raw WHERE source <> target GROUP BY 1, 2),
 {name}_s AS (SELECT src AS u, dst AS v, weight FROM {name} UNION ALL SELECT dst, src, weight FROM {name}),
 {name}_d AS (SELECT u AS node, count(*) AS degree, sum(weight) AS strength FROM {name}_s GROUP BY u)"""
 
 
-_P, _C, _S = _edges("p", "purchase"), _edges("c", "click"), _edges("s", "error", SPARSE)
+_P, _C, _S = _edges("p", "purchase"), _edges("c", "click"), _edges("s", "error")
 
 
 def _walks(name: str, hops: int = 14) -> str:
@@ -199,23 +195,6 @@ def _q(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
 
-_REMOVED = f"""
-rw AS (
-  SELECT x.node AS gone, y.node AS s, y.node AS v, 0 AS d FROM s_d x, s_d y WHERE x.node <> y.node
-  UNION SELECT w.gone, w.s, e.v, w.d + 1 FROM rw w JOIN s_s e ON w.v = e.u WHERE e.v <> w.gone AND w.d < 14
-), rh AS (SELECT gone, s, v, min(d) AS d FROM rw GROUP BY gone, s, v),
-rc AS (SELECT gone, s, min(v) AS component FROM rh GROUP BY gone, s),
-rz AS (SELECT gone, count(*) AS components, max(n) AS largest FROM (SELECT gone, component, count(*) AS n FROM rc GROUP BY 1, 2) GROUP BY gone)"""
-_BASE = """
-base AS (SELECT (SELECT sum(1.0 / d) FROM s_h WHERE d > 0) / (n * (n - 1)) AS eff, n, (SELECT max(c) FROM (SELECT count(*) AS c FROM s_cc GROUP BY component)) AS top,
-  (SELECT count(DISTINCT component) FROM s_cc) AS parts FROM (SELECT count(*) AS n FROM s_d))"""
-_CUT = """
-ew AS (
-  SELECT e.src AS x, e.dst AS y, n.node AS s, n.node AS v, 0 AS d FROM s e, s_d n
-  UNION SELECT w.x, w.y, w.s, e.v, w.d + 1 FROM ew w JOIN s_s e ON w.v = e.u WHERE NOT ((e.u = w.x AND e.v = w.y) OR (e.u = w.y AND e.v = w.x)) AND w.d < 14
-), eh AS (SELECT x, y, s, v, min(d) AS d FROM ew GROUP BY x, y, s, v),
-ec AS (SELECT x, y, s, min(v) AS component FROM eh GROUP BY x, y, s),
-ez AS (SELECT x, y, count(*) AS components, max(n) AS largest FROM (SELECT x, y, component, count(*) AS n FROM ec GROUP BY 1, 2, 3) GROUP BY x, y)"""
 _CORES = """
 cr AS (SELECT 0 AS i, node, degree AS core FROM s_d
   UNION ALL SELECT i + 1, u, max(least(rn, near)) FROM (
@@ -310,7 +289,7 @@ SELECT e.src AS source, e.dst AS target, round(weight, 6) AS weight, CASE WHEN x
 FROM p e JOIN p_d x ON e.src = x.node JOIN p_d y ON e.dst = y.node"""),
     "rich_club_membership": _q([_P], "SELECT node, degree::DOUBLE AS richness, degree > 20 AS rich_club_member FROM p_d"),
     "benjamini_hochberg": """
-WITH t AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN (event_id * 7919 % 1009 + 1) / 1010.0::DOUBLE END AS p FROM events WHERE event_id < 500),
+WITH t AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN (event_id * 7919 % 1009 + 1) / 1010.0::DOUBLE END AS p FROM events),
 r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t WHERE p IS NOT NULL)
 SELECT t.event_id, round(q, 6) AS q_bh FROM t LEFT JOIN (SELECT event_id, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r) USING (event_id)""",
     "compare_networks": _q([_P, _reach("p"), _triangles("p"), _summary("p"), _C, _reach("c"), _triangles("c"), _summary("c")], "SELECT * FROM (" + " UNION ALL ".join(
@@ -355,10 +334,4 @@ SELECT n.graph, nodes::DOUBLE AS nodes, edges::DOUBLE AS edges, round(2.0 * edge
   round(average_clustering, 6) AS average_clustering, round(transitivity, 6) AS transitivity, round(CASE WHEN edges > 1 AND a.n * q - s * s <> 0 THEN (a.n * p - s * s) / (a.n * q - s * s) ELSE 0 END, 6) AS assortativity,
   components::DOUBLE AS components, round(largest / nodes::DOUBLE, 6) AS largest_component_fraction, round(inverse / (nodes * (nodes - 1)), 6) AS global_efficiency
 FROM g_n n JOIN g_a a ON n.graph = a.graph JOIN (SELECT graph, count(*) AS components, max(size) AS largest FROM g_c GROUP BY graph) c ON n.graph = c.graph JOIN (SELECT graph, sum(1.0 / d) AS inverse FROM g_h WHERE d > 0 GROUP BY graph) h ON n.graph = h.graph"""),
-    "perturbation_screen": _q([_S, _walks("s"), _reach("s"), _BASE, _REMOVED], """
-SELECT gone AS node, round(0.6 * greatest(eff - e, 0) + 0.4 * greatest(top - largest - 1, 0) / n, 6) AS impact_score, round(e - eff, 6) AS efficiency_change, largest - (top - 1) AS largest_component_change, components AS components_after
-FROM (SELECT z.gone, components, largest, coalesce(x, 0) / ((n - 1) * (n - 2)) AS e, eff, top, n FROM rz z LEFT JOIN (SELECT gone, sum(1.0 / d) AS x FROM rh WHERE d > 0 GROUP BY gone) y ON z.gone = y.gone, base)"""),
-    "edge_perturbation_screen": _q([_S, _walks("s"), _reach("s"), _BASE, _CUT], """
-SELECT z.x AS source, z.y AS target, round(0.6 * greatest(eff - e, 0) + 0.4 * greatest((top - largest) / n, 0), 6) AS impact_score, round(e - eff, 6) AS efficiency_change, round((largest - top) / n::DOUBLE, 6) AS largest_component_change, components > parts AS is_bridge, components AS components_after
-FROM ez z JOIN (SELECT x, y, sum(1.0 / d) / ((SELECT n FROM base) * ((SELECT n FROM base) - 1)) AS e FROM eh WHERE d > 0 GROUP BY x, y) h ON z.x = h.x AND z.y = h.y, base"""),
 }
