@@ -314,7 +314,8 @@ def test_sentencepiece(docs, rows, none):
     model = sentencepiece.Model(open(MODEL, "rb").read())
     plain = library.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abcdeest \n\t  thinérñ日本🙂ing▁") for _ in range(rng.randint(0, 80))) for _ in range(600)] + ["x" * 500, "thing" * 90, "1" * 300, " ", "  a"]
+    texts = [" ".join([""] * 400 + ["a"]), "thing▁" * 300, "the\u2581" * 5 + "x" * 2000, "".join(rng.choice("thein") for _ in range(3000))]
+    texts += ["".join(rng.choice("abcdeest \n\t  thinérñ日本🙂ing▁") for _ in range(rng.randint(0, 80))) for _ in range(600)] + ["x" * 500, "thing" * 90, "1" * 300, " ", "  a"]
     for t in texts:
         ids = sentencepiece.encode(model, t)
         assert ids == plain.encode(t), t

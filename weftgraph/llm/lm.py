@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.text import text_or_empty
+from weftgraph.llm.text import small_parts, text_or_empty
 from weftgraph.plans.shared import materialize
 
 END = b" "  # no word holds a space
@@ -52,21 +52,6 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word.strip(_MARKS)[-3:]) % GROUPS
 
 
-def small_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of a column of texts, of about ``most`` bytes each."""
-    part: list[bytes] = []
-    first = size = 0
-    for i, x in enumerate(column):
-        value = x.as_py()
-        part.append(value)
-        size += len(value)
-        if size > most:
-            yield first, part
-            part, size, first = [], 0, i + 1
-    if part:
-        yield first, part
-
-
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(word, c) over all of one binary column; tasks sum what they can hold, Spark sums the rest."""
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])

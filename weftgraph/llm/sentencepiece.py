@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi with a bounded window.
 
-For every character boundary the lattice keeps the surviving path that ends there. Only the last
-``longest piece`` boundaries can still be extended, so older ones leave the window, and when all survivors in it
-pass through one boundary the ids before that boundary are final and are committed.
+For every character boundary the lattice keeps the surviving path that ends there. Only the next
+``longest piece`` boundaries can hold survivors, so the window is a ring of that size: a boundary leaves it once it has been extended, and
+what it knew lives on only as the backpointers of survivors. When the ways of all survivors pass through one boundary the
+ids before that boundary are final and are committed. Text is read character by character, a stretch at a time.
 
 A unigram model's survivor is the path with the best sum of scores. A BPE model's survivor is
 the one whose last two pieces merging itself would leave apart: a piece sequence is the model's encoding exactly when
@@ -11,10 +12,12 @@ each neighbouring pair is, so every boundary has one valid last piece, and the p
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from weftgraph.llm.text import text_or_empty
+from weftgraph.llm.text import small_parts, text_or_empty
 
 SPACE = "▁"
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Words whose ids a worker keeps; when full the store starts anew. A bound on memory, not on results.
-MEMO_WORDS, MEMO_PAIRS = 700_000, 700_000
+MEMO_WORDS, MEMO_PAIRS, MEMO_GROWTH = 120_000, 200_000, 60_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 DONE = float("-inf")
 
@@ -110,91 +113,112 @@ class Model:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
                 ends.append(parts[-1])
                 begins.append(parts[0])
+            if len(self.grown) >= MEMO_GROWTH:
+                self.grown.clear()
             known = self.grown[k] = (merges, ends, begins)
         return known
 
 
-def stream(model: Model, text: str) -> Iterator[int]:
-    """Piece ids of ``text`` (-1 - code point for a character without a piece), committed as soon as all survivors agree."""
-    n, ids, heads, longest, lengths, bpe = len(text), model.ids, model.heads, model.longest, model.lengths, model.bpe
-    base, far = 0, 0  # the boundary committed last; the farthest one that a survivor jumps to
-    last: dict[int, int] = {0: model.none}  # a boundary's survivor: its last piece
-    best: dict[int, float] = {0: 0.0}
+Way = tuple  # (last piece, the way before it or None)
 
-    def path(at: int) -> list[int]:
-        out = []
-        while at > base:
-            out.append(last[at])
-            at -= lengths[last[at]] if last[at] >= 0 else 1
-        return out[::-1]
 
+def ids_of(way: Way | None) -> list[int]:
+    out = []
+    while way is not None:
+        out.append(way[0])
+        way = way[1]
+    return out[::-1]
+
+
+def common_way(ways: list[Way]) -> Way | None:
+    """The longest way that all of ``ways`` go on from."""
+    shared: dict[int, Way] = {}
+    way: Way | None = ways[0]
+    while way is not None:
+        shared[id(way)] = way
+        way = way[1]
+    for way in ways[1:]:
+        met = set()
+        while way is not None:
+            met.add(id(way))
+            way = way[1]
+        shared = {k: w for k, w in shared.items() if k in met}
+    return next(iter(shared.values()), None)  # they come from the latest to the first
+
+
+def stream(model: Model, text: str) -> Iterator[int]:
+    """Piece ids of ``text`` (-1 - code point for a character without a piece), committed as soon as all survivors agree.
+
+    ``ring`` holds the survivors of the next ``longest`` boundaries, the window; at each boundary where no survivor jumps ahead, its way is the only one and is
+    committed. Where that doesn't happen for long, the survivors' common way is.
+    """
+    n, ids, heads, longest, bpe, scores, worst = len(text), model.ids, model.heads, model.longest, model.bpe, model.scores, model.worst
+    pairs = model.pairs if bpe else {}
+    size = longest + 1
+    ring: list[Way | None] = [None] * size
+    best = [0.0] * size
+    before, way, value = model.none, None, 0.0  # the survivor at the boundary that is extended
+    far = start = 0  # the farthest boundary with a survivor; the one committed last
     for s in range(n):
-        if s not in last:
-            continue
-        if s > base:
-            if far <= s:  # no survivor jumps over s
-                yield from path(s)
-                last, best, base = {s: last[s]}, {s: best[s]}, s
-            elif s - base > 4 * longest:  # a long stretch without such a boundary: the survivors' common way
-                ways = []
-                for end in range(s, far + 1):
-                    if end in last:
-                        at, way = end, set()
-                        while at > base:
-                            at -= lengths[last[at]] if last[at] >= 0 else 1
-                            way.add(at)
-                        ways.append(way)
-                if (shared := max(set.intersection(*ways), default=base)) > base:
-                    yield from path(shared)
-                    last = {k: v for k, v in last.items() if k >= shared}
-                    best, base = {k: v for k, v in best.items() if k >= shared}, shared
-        before, value = last[s], best[s]
+        if s:
+            way = ring[s % size]
+            if way is None:
+                continue
+            ring[s % size] = None
+            before, value = way[0], best[s % size]
+            if far == s:  # all survivors meet here
+                yield from ids_of(way)
+                start, way = s, None
+            elif s - start > 4 * longest:
+                ways = [w for w in (way, *ring) if w is not None]
+                shared = common_way(ways)
+                if shared is not None:
+                    done = ids_of(shared)
+                    yield from done
+                    cut: dict[int, Way | None] = {id(shared): None}
+                    way, ring = _after(way, cut), [w and _after(w, cut) for w in ring]
+                start = s
         for e in range(s + 1, min(n, s + longest) + 1):
             if (k := heads.get(text[s:e])) is None:
                 break
             if k < 0:
                 continue
+            at = e % size
             if bpe:
-                if e not in last and (before < 0 or model.apart(before, k)):
-                    last[e], best[e] = k, 0.0
-                    far = max(far, e)
-            elif e not in best or value + model.scores[k] > best[e]:
-                last[e], best[e] = k, value + model.scores[k]
-                far = max(far, e)
-        if text[s] not in ids and (s + 1 not in last or not bpe and value + model.worst > best[s + 1]):
-            last[s + 1], best[s + 1] = -1 - ord(text[s]), value + model.worst
-            far = max(far, s + 1)
-    yield from path(n)
-
-
-def short(model: Model, text: str) -> list[int]:
-    """What ``stream`` gives for a BPE model and a stretch that fits its window, where all survivors converge at the end at the latest."""
-    n, heads, longest, pairs, unset = len(text), model.heads, model.longest, model.pairs, -(1 << 40)
-    last = [unset] * (n + 1)
-    last[0] = model.none
-    for s in range(n):
-        if (before := last[s]) == unset:
-            continue
-        for e in range(s + 1, min(n, s + longest) + 1):
-            if (k := heads.get(text[s:e])) is None:
-                break
-            if k >= 0 and last[e] == unset:
-                if before >= 0 and (ok := pairs.get(before << 32 | k)) is not True and (ok is False or not model.apart(before, k)):
-                    continue
-                last[e] = k
-        if last[s + 1] == unset and text[s] not in model.ids:
-            last[s + 1] = -1 - ord(text[s])
-    out, at = [], n
-    while at:
-        out.append(last[at])
-        at -= model.lengths[last[at]] if last[at] >= 0 else 1
-    return out[::-1]
+                if ring[at] is None:
+                    if before >= 0 and (ok := pairs.get(before << 32 | k)) is not True and (ok is False or not model.apart(before, k)):
+                        continue
+                    ring[at] = (k, way)
+                    far = e if e > far else far
+            elif ring[at] is None or value + scores[k] > best[at]:
+                ring[at], best[at] = (k, way), value + scores[k]
+                far = e if e > far else far
+        at = (s + 1) % size
+        if text[s] not in ids and (ring[at] is None or not bpe and value + worst > best[at]):
+            ring[at], best[at] = (-1 - ord(text[s]), way), value + worst
+            far = s + 1 if s + 1 > far else far
+    if n:
+        yield from ids_of(ring[n % size])
+
+
+def _after(way: Way, cut: dict[int, Way | None]) -> Way | None:
+    """``way`` without its beginning up to the way in ``cut``; equal ways stay one."""
+    todo = []
+    at: Way | None = way
+    while at is not None and id(at) not in cut:
+        todo.append(at)
+        at = at[1]
+    rest = cut[id(at)] if at is not None else None
+    for x in reversed(todo):
+        rest = (x[0], rest)
+        cut[id(x)] = rest
+    return rest
 
 
 def encode_stretch(model: Model, text: str) -> bytes:
     """Ids of a stretch, as the bytes of 32-bit numbers."""
     out = array("i")
-    for k in short(model, text) if model.bpe and len(text) <= 4 * model.longest else stream(model, text):
+    for k in stream(model, text):
         if k >= 0:
             out.append(k)
         elif model.bytes:
@@ -235,9 +259,20 @@ def encode(model: Model, text: str) -> list[int]:
     return array("i", encode_bytes(model, text)).tolist()
 
 
-def decode(model: Model, ids: list[int]) -> str:
-    text = b"".join(map(model.surface.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if model.prefix and text.startswith(" ") else text
+def decode_stream(model: Model, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
+    """The text of ``ids``, piece by piece, at most ``at_once`` ids at a time; bytes of a character may come in several parts."""
+    reader = codecs.getincrementaldecoder("utf-8")("replace")
+    first, source = model.prefix, iter(ids)
+    while part := list(islice(source, at_once)):
+        text = reader.decode(b"".join(map(model.surface.__getitem__, part))).replace(SPACE, " ")
+        if first and text:
+            text, first = text.removeprefix(" "), False
+        yield text
+    yield reader.decode(b"", True)
+
+
+def decode(model: Model, ids: Iterable[int]) -> str:
+    return "".join(decode_stream(model, ids))
 
 
 _LOADED: dict[str, Model] = {}
@@ -268,14 +303,13 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for first, texts in small_parts(batch.column(1)):
                 ids, same = [], []
-                for text in part.column(1).to_pylist():
+                for text in texts:
                     ids.append(encode_bytes(model, text))
                     same.append(decode(model, array("i", ids[-1])) == text)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(same, pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists, pa.array(same, pa.bool_())], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("__id", id_col)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,18 @@ def count_words(col: Column) -> Column:
     """Number of words between white space, without making an array of them."""
     one = F.btrim(F.regexp_replace(col, SPACE_RUN, " "))
     return F.when(one == "", F.lit(0)).otherwise(F.length(one) - F.length(F.replace(one, F.lit(" "))) + 1).cast("long")
+
+
+def small_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of a column of texts, of about ``most`` bytes or characters each: what is worked on at once doesn't grow with a batch."""
+    part: list = []
+    first = size = 0
+    for i, x in enumerate(column):
+        value = x.as_py()
+        part.append(value)
+        size += len(value)
+        if size > most:
+            yield first, part
+            part, size, first = [], 0, i + 1
+    if part:
+        yield first, part
