@@ -317,4 +317,5 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
                 columns[lang_at] = pa.array([old if old is not None or f[0] < 0 else m.langs[f[0]] for old, f in zip(batch.column(lang_at).to_pylist(), found, strict=True)], pa.string()).cast(batch.column(lang_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f[0] >= 0 and f[3] >= least_score for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.text import SPACE_RUN, count_words, text_or_empty
+from weftgraph.llm.text import SPACE_RUN, count_words, named, row_key, text_or_empty
 from weftgraph.plans.shared import materialize, null_safe_join
 
 #: Bits of a draw, and the rounds of a permutation.
@@ -105,7 +105,7 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(plan, pieces) of the mix of all words of ``docs``.
 
-    plan has a row for each row of ``docs``: id, __h (hash of the text), __source, size, start (its first word
+    plan has a row for each row of ``docs``: id, __h (key of the row), __source, size, start (its first word
     in its source's stream), source_size, target. pieces has a row for each part of a document that a slot
     reads: id, __h, __source, start, size, epoch, word_from, word_to (end exclusive), shard.
 
@@ -115,13 +115,15 @@ def mix_sources(
     read; a null source is a source; repeated rows each have words of their own; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), count_words(text_or_empty(text_col)).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("__h"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), count_words(text_or_empty(text_col)).alias("size"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__h"))
     sizes = materialize(rows, "sizes")
     targets = materialize(source_targets(sizes, factor, weights, most, block), "targets")  # one row a source
     ranked = null_safe_join(sizes, targets, ["__source"])
     ranked = ranked.withColumn("chunk", F.pmod(draw(seed, "chunk", F.coalesce(F.col("__id").cast("string"), F.lit(""))), F.lit(CHUNKS)))
     plan = _running(ranked, ["__rank"], "chunk", ["__id", "size", "__h"], "size")
-    counts = slot_counts(targets, slots, seed).filter("n > 0")
+    # Dealt out before a row becomes thousands of slots; a fixed number, which adaptive plans don't fold by the size of these few rows.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = slot_counts(targets, slots, seed).filter("n > 0").repartition(tasks, "__rank", "shard")
     picks = counts.withColumn("k", F.explode(F.expr("sequence(start, start + n - 1)"))).filter(F.col("k") < F.lit(int(most)) * F.col("n_blocks"))
     picks = picks.withColumn("epoch", F.expr("k div n_blocks"))
     picks = picks.withColumn("b", permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), seed, F.col("__rank").cast("string"), F.col("epoch").cast("string"))).select("__rank", "b", "epoch", "shard")
@@ -143,15 +145,21 @@ def taken_words(plan: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> D
 def mixed_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as documents with the columns of ``docs``: one row for each document and epoch, its text the words taken.
 
-    A document whose words are all taken in an epoch keeps its text as it is; parts are joined by one space.
+    A document whose words are all taken in an epoch keeps its text as it is; parts are joined by one space. Defined cases: a null or empty text is never in the mix;
+    rows that repeat an id, a source and a text come as often as their words were taken, with one of these rows' other columns, the least as JSON; null ids and
+    sources are values; an empty table gives no rows; other columns, whatever their names, pass through.
+
+    Rows meet their parts by one key, so each text is shuffled once.
     """
-    own = pieces.select(F.col(id_col).alias("__pid"), "__h", F.col("__source").alias("__psource"), F.col("start").alias("__start"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), "word_from", "word_to")
-    parts = own.groupBy("__pid", "__h", "__psource", "__start", "__size", "__epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("__parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("__n"))
-    rows = docs.withColumn("__th", F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, "__th", source_col])
-    both = rows.join(parts, rows[id_col].eqNullSafe(parts["__pid"]) & (rows["__th"] == parts["__h"]) & rows[source_col].eqNullSafe(parts["__psource"]))
-    words = F.filter(F.split(text_or_empty(text_col), SPACE_RUN), lambda w: w != "")
+    own = pieces.select("__h", F.col("start").alias("__start"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"), "word_from", "word_to")
+    parts = own.groupBy("__h", "__start", "__size", "__epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("__parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("__n"))
+    others = [named(c) for c in docs.columns if c != text_col]
+    rows = docs.select(row_key(named(id_col), named(source_col), named(text_col)).alias("__h"), F.to_json(F.struct(*others)).alias("__order"), F.struct(*map(named, docs.columns)).alias("__row"))
+    both = rows.join(parts.select("__h").distinct(), "__h", "left_semi").groupBy("__h").agg(F.min_by("__row", "__order").alias("__row")).join(parts, "__h")
+    text = F.col("__row").getField(text_col)
+    words = F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
     # The words are bound once; a plain reference inside the inner lambda would split the text for each part.
     cut = lambda w: F.flatten(F.transform("__parts", lambda p: F.slice(w, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int"))))
     some = F.array_join(F.element_at(F.transform(F.array(words), cut), 1), " ")
-    both = both.withColumn("__mixed", F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(some))
-    return both.select(*[F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    both = both.withColumn("__mixed", F.when(F.col("__n") >= F.col("__size"), text).otherwise(some))
+    return both.select(*[F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -46,3 +46,13 @@ def small_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, li
             part, size, first = [], 0, i + 1
     if part:
         yield first, part
+
+
+def named(name: str) -> Column:
+    """A column of any name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(*cols: Column) -> Column:
+    """128 bits that tell rows apart by ``cols``; never null, and null differs from every text."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *[F.concat(F.when(c.isNull(), "0").otherwise("1"), F.coalesce(c.cast("string"), F.lit(""))) for c in cols]).cast("binary")))
