@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.text import lower_ascii, strip_spaces, text_or_empty
-from weftgraph.plans.shared import null_safe_join, salted_join
+from weftgraph.llm.text import lower_ascii, row_key, strip_spaces, text_or_empty
+from weftgraph.plans.shared import salted_join
 
 
 def line_key(line: Column) -> Column:
@@ -28,20 +28,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document for counting, and each is rewritten; rows with a null id count as one document, smaller than
     all others; an empty table gives no rows; other columns are ignored.
 
-    Lines travel as 16-byte hashes. Keys of hot lines are dealt over salts, and counts are summed before
-    they are shuffled. The texts are shuffled once, to meet the hashes their documents lose.
+    Lines are exploded with their positions and travel as 16-byte hashes; hot ones are dealt over salts, and counts are summed before
+    they are shuffled. A document is reassembled from the stretches between the positions it loses, in one pass over its lines; its text is shuffled
+    once, to meet them.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    keys = F.filter(F.transform(F.split("__text", "\n", -1), line_key), lambda k: F.length(k) >= min_chars)
-    held = rows.select("__id", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h")).distinct()
-    over = held.groupBy("h").agg(F.count("*").alias("n"), F.max("__id").alias("last")).filter(F.col("n") > max_docs).select("h", "last")
-    lost = salted_join(held, over, ["h"], ["__id"]).filter(~F.col("__id").eqNullSafe(F.col("last")))
-    lost = lost.groupBy("__id").agg(F.collect_list("h").alias("gone"))
-    lines = null_safe_join(rows, lost, ["__id"], "left").withColumn("line", F.split("__text", "\n", -1))
-    kept = F.when(F.col("gone").isNull(), F.col("line")).otherwise(
-        F.filter("line", lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("gone"), key_hash(line_key(x))))
-    )
-    out = lines.withColumn("kept", kept)
-    return out.select(
-        F.col("__id").alias(id_col), F.array_join("kept", "\n").alias("text"), F.size("line").cast("long").alias("n_lines"), (F.size("line") - F.size("kept")).cast("long").alias("n_dropped")
+    rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__k", row_key(F.col("__id"), F.col("__text")))
+    lines = rows.select("__k", "__id", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    lines = lines.filter(F.length("key") >= min_chars).select("__k", "__id", "pos", key_hash(F.col("key")).alias("h"))
+    over = lines.select("__id", "h").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("__id").alias("last")).filter(F.col("n") > max_docs).select("h", "last")
+    lost = salted_join(lines, over, ["h"], ["__k"]).filter(~F.col("__id").eqNullSafe(F.col("last")))
+    lost = lost.groupBy("__k").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    whole = rows.join(lost, "__k", "left").withColumn("n_lines", F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1)
+    return whole.select(
+        F.col("__id").alias(id_col), F.when(F.col("gone").isNull(), F.col("__text")).otherwise(reassembled(F.split("__text", "\n", -1), F.col("gone"))).alias("text"), F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped")
     )
+
+
+def reassembled(lines: Column, gone: Column) -> Column:
+    """The lines between the sorted positions ``gone``, joined by \\n: one slice for each stretch, so the work is linear in the lines."""
+    ends = lambda g: F.concat(F.array(F.lit(-1)), g)
+
+    def stretches(x: Column) -> Column:
+        return F.flatten(F.transform(F.arrays_zip(ends(x["gone"]).alias("a"), F.concat(x["gone"], F.array(F.size(x["lines"]))).alias("b")), lambda z: F.slice(x["lines"], z["a"] + 2, z["b"] - z["a"] - 1)))
+
+    # Bound once: a plain reference inside the lambda would split the text for each stretch.
+    return F.array_join(F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), stretches), 1), "\n")
