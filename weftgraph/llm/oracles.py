@@ -98,8 +98,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 l AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, array_to_string(regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+'), ' ') AS key
   FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-o AS (SELECT l.source, key, min(doc_id) AS first FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, key, docs HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > docs * 0.0005),
+o AS (SELECT l.source, key, min(doc_id) AS first FROM l GROUP BY l.source, key HAVING count(DISTINCT doc_id) > 2),
 x AS (SELECT doc_id, sum(words) AS n FROM l JOIN o ON l.source IS NOT DISTINCT FROM o.source AND l.key = o.key WHERE doc_id <> first GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS lost_words FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
