@@ -9,8 +9,10 @@ they write are mapped back to source positions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match, and so the next search, ends where its figures end
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -80,14 +82,16 @@ SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "ci
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
 _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: Three spelled digits in a row, or more, also mixed with figures.
-_RUN = rf"(?<!\w)(?:plus[ -]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[ ,.-]+(?:{_DIGIT_WORD}|[0-9]+|dot|point)(?!\w)){{2,}}"
+_RUN = rf"(?<!\w)(?:plus[ ,-]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[ ,.-]+(?:{_DIGIT_WORD}|[0-9]+|dot|point)(?!\w)){{2,}}"
 _NUMBER_RUN, _NUMBER_RUN_LOW = re.compile(_RUN, re.I), re.compile(_RUN)
 _TOKEN = re.compile(rf"{_DIGIT_WORD}|[0-9]+|plus|dot|point|[ ,.-]+", re.I)
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _LABEL = r"[A-Za-z0-9-]+"
-_DISGUISED = re.compile(rf"(?P<local>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
-_DOTTED = re.compile(rf"[0-9]{{1,3}}(?:\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\s+dot\s+|\.)[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{2}}", re.I)
+#: The core of an "at", without the white space around it; what stands before and after it is matched outwards from there.
+_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|(?<=\s)at(?=\s)|@", re.I)
+_DOMAIN_AFTER = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
+_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\s*[\])}>]\s*(?:tod|\.)\s*[\[({<]\s*|\s+tod\s+|\.)[A-Za-z0-9_%+-]+)*", re.I)  # in the text read backwards
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\s+dot\s+|\.)[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{2}}", re.I)
 _DOT_ONLY = re.compile(_DOT, re.I)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
 _DOT_WORD = re.compile(r"\sdot\s", re.I)
@@ -98,25 +102,37 @@ class Mapped:
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        self.starts = np.arange(len(text), dtype=np.int32) if starts is None else starts
+        self.ends = self.starts + 1 if ends is None else ends
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """Replace stretches (start, end, new), in order; each new character stands for the whole stretch."""
         if not edits:
             return self
-        text, starts, ends, at = [], [], [], 0
-        for a, b, new in edits:
-            text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            at = b
-        return Mapped("".join([*text, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
+        a, b = (np.array([e[k] for e in edits]) for k in (0, 1))
+        size = np.array([len(e[2]) for e in edits])
+        parts, at = [], 0
+        for start, end, new in edits:
+            parts += [self.text[at:start], new]
+            at = end
+        kept = np.ones(len(self.text) + 1, dtype=np.int32)
+        kept[-1] = 0
+        covered = np.zeros(len(self.text) + 1, dtype=np.int32)
+        np.add.at(covered, a, 1)
+        np.add.at(covered, b, -1)
+        kept[np.cumsum(covered) > 0] = 0
+        np.add.at(kept, a, size.astype(np.int32))  # the first character of a stretch is repeated for each new one
+        source = np.repeat(np.arange(kept.size), kept)
+        starts, ends = self.starts[source], self.ends[source]
+        new_at = np.cumsum(kept) - kept
+        for i, j, k in zip(new_at[a], size, b, strict=True):
+            ends[i : i + j] = self.ends[k - 1]
+        return Mapped("".join([*parts, self.text[at:]]), starts, ends)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        return int(self.starts[start]), int(self.ends[end - 1])
 
 
 def fold_lookalikes(x: Mapped) -> Mapped:
@@ -139,24 +155,36 @@ def fold_spelled(x: Mapped) -> Mapped:
             elif low in ("dot", "point"):
                 edits.append((a, b, "."))
             elif 0 < i < len(words) - 1 and not w[0].isalnum():
-                edits.append((a, b, "-" if "-" in low else "." if "." in low else ""))
+                edits.append((a, b, "" if words[i - 1][0].lower() == "plus" else "-" if "-" in low else "." if "." in low else ""))
     return x.rewrite(edits)
 
 
 def fold_disguises(x: Mapped) -> Mapped:
     """"at" and "dot" between the parts of an address; bare words only where a bare or bracketed dot follows."""
     edits = []
-    for m in _DISGUISED.finditer(x.text):
-        at, domain = m["at"], m["domain"]
-        plain = at.strip().lower() == "at"
-        if at == "@" and _DOT_ONLY.sub("", domain) == domain.replace(".", "") and _DOT_ONLY.sub("", m["local"]) == m["local"].replace(".", ""):
+    text, n, done = x.text, len(x.text), 0
+    backwards = text[::-1]
+    for m in _AT.finditer(text):
+        if m.start() < done:
             continue
-        if (plain or at.strip() == "@") and at != "@" and not (_DOT_WORD.search(domain) or _BRACKET.search(domain)):
+        a, b = m.span()
+        while b < n and text[b].isspace():
+            b += 1
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        after = _DOMAIN_AFTER.match(text, b)
+        before = _LOCAL_BEFORE.match(backwards, n - a, n - done) if after else None
+        if after is None or before is None:
             continue
-        for name, new in (("local", "."), ("domain", ".")):
-            edits += [(m.start(name) + d.start(), m.start(name) + d.end(), new) for d in _DOT_ONLY.finditer(m[name]) if d[0] != "."]
+        start, end = n - before.end(), after.end()
+        done = end
+        at, local, domain = text[a:b], text[start:a], after[0]
+        dots = [(p + d.start(), p + d.end(), ".") for p, part in ((start, local), (b, domain)) for d in _DOT_ONLY.finditer(part) if d[0] != "."]
+        if at != "@" and at.strip().lower() in ("at", "@") and not (_DOT_WORD.search(domain) or _BRACKET.search(domain)):
+            continue
+        edits += dots
         if at != "@":
-            edits.append((m.start("at"), m.end("at"), "@"))
+            edits.append((a, b, "@"))
     for m in _DOTTED.finditer(x.text):
         edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT_ONLY.finditer(m[0]) if d[0] != "."]
     out: list[tuple[int, int, str]] = []
@@ -167,7 +195,7 @@ def fold_disguises(x: Mapped) -> Mapped:
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that show only after the transducers, at their place in ``text``; none overlaps a base span of its kind."""
+    """Identifiers that show only after the transducers, at their place in ``text``; one that overlaps base spans of its kind is wider than these."""
     low = text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
     marks = _BRACKET.search(low) is not None or (_DOT_WORD.search(low) is not None if " dot" in low or "\tdot" in low or "\ndot" in low else False)
@@ -180,11 +208,13 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     x = fold_disguises(fold_spelled(x))
     if x.text == text:
         return []
-    taken = {k: [(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))}
+    taken = [([a for a, kind, _ in base if kind == k], [b for _, kind, b in base if kind == k]) for k in range(len(KINDS))]
     out = []
     for a, kind, b in find_spans(x.text):
         start, end = x.source(a, b)
-        if not any(start < q and p < end for p, q in taken[kind]):
+        starts, ends = taken[kind]
+        i, j = bisect_right(ends, start), bisect_left(starts, end)  # the plain ones between overlap it
+        if i == j or start <= starts[i] and ends[j - 1] <= end and (starts[i], ends[j - 1]) != (start, end):
             out.append((start, kind, end))
     return out
 
@@ -197,9 +227,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Each row of ``docs`` as id, spans array<struct<start, end, kind, disguised>>, in code points, end exclusive.
 
     Plain identifiers are always returned; disguised ones are added where they don't overlap a plain one of
-    their kind. Defined cases: a null or empty text has none; repeated rows are each searched; a null
+    their kind, or where they are wider: the plain one was a part of them. Defined cases: a null or empty text has none; repeated rows are each searched; a null
     id is passed on; an empty table gives no rows; other columns are ignored. Time is linear in a text's
-    length but for pathological runs of digits.
+    length: disguises are matched outwards from their "at".
     """
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     schema = T.StructType([T.StructField("__id", rows.schema["__id"].dataType), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("start", "end", "kind")], T.StructField("disguised", T.ArrayType(T.BooleanType()))])
@@ -207,8 +237,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: tuple[list, list, list, list] = ([], [], [], [])
-            for text in batch.column(1):
-                t = text.as_py()
+            for t in (t.as_py() for t in batch.column(1)):
                 base = find_spans(t)
                 spans = sorted([(*s, False) for s in base] + [(*s, True) for s in hidden_spans(t, base)])
                 cols[0].append([s[0] for s in spans])
