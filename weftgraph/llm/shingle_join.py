@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.text import text_or_empty
+from weftgraph.llm.text import small_parts, text_or_empty
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.shared import materialize, salted_join
 
@@ -26,7 +26,7 @@ _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 62, 256, dtype=np.uint64) * _U(2) + _U(1)
 LEAF, FAN = 16, 8  # sets in a leaf, children of a node
-TILE = 2000  # members of a group that one task compares with as many others
+TILE = 2000  # members of a group that are compared in one task
 MEMBERS_AT_ONCE = 1 << 20
 SLOTS = 1 << 22
 LINK = "src long, dst long"
@@ -58,14 +58,19 @@ def word_hashes(text: bytes) -> np.ndarray:
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if _POWERS[0].size < n:
-        size = 1 << (n - 1).bit_length()
-        for i, x in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
-            p = np.full(size, x, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
+def _powers(n: int, most: int = 1 << 18) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse; those of at most ``most`` places stay in memory, longer texts make their own."""
+    if _POWERS[0].size >= n:
+        return _POWERS
+    size = 1 << (n - 1).bit_length()
+    made = []
+    for x in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+        p = np.full(size, x, dtype=np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size <= most:
+        _POWERS[:] = made
+    return made
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -205,12 +210,45 @@ def _signature(keys: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def tiled(groups: DataFrame) -> DataFrame:
-    """(g, id) of (g, id, m): groups of over TILE members become one group for each pair of their tiles."""
-    t = groups.withColumn("tiles", F.expr(f"(m + {TILE - 1}) div {TILE}"))
-    t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    pair = F.when(F.col("tiles") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("tile", "other"), F.greatest("tile", "other")))
-    return t.select(pair.alias("g"), "id")
+def in_rounds(groups: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of ``solve``, which compares all members of each group (g, id), for groups (g, id, m) of any size m.
+
+    Groups over TILE members are dealt into tiles, each compared in itself. One member of each class of two or more is dealt and
+    compared again, which joins the tiles' classes, while that halves their number. Who is then in his group's largest class needs no more comparison with others of it; all that
+    aren't are compared with every tile. So a group of near copies costs its size, not its square, and no link between classes is lost.
+    """
+    big = groups.filter(F.col("m") > TILE)
+    small = groups.filter(F.col("m") <= TILE).select("g", "id")
+    if big.isEmpty():
+        return solve(small)
+    dealt = lambda n: F.expr(f"({n} + {TILE - 1}) div {TILE}")
+    big = materialize(big.select("g", "id", F.pmod(F.xxhash64("id"), dealt("m")).alias("tile"), dealt("m").alias("tiles")), "groups")
+    first = materialize(solve(small.unionByName(big.select(F.xxhash64("g", "tile").alias("g"), "id"))), "links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return big.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    links, before = first, None
+    while True:
+        heads = materialize(labelled(links).groupBy("g", "label").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
+        counts = heads.groupBy("g").agg(F.count("*").alias("r")).filter("r > 1")
+        most, total = counts.agg(F.coalesce(F.max("r"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
+        if not total or (before is not None and 2 * total > before):  # most classes are joined, or can't be by this
+            break
+        met = solve(heads.join(counts, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("id", F.lit(total)), dealt("r")), F.lit(1)).alias("g"), "id"))
+        links, before = materialize(links.unionByName(met), "links"), total
+        if most <= TILE:
+            break
+    now = materialize(labelled(links), "groups")
+    most = now.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    rest = now.join(most, "g").filter("label != most").drop("most", "label")
+    left = rest.groupBy("g").agg(dealt("count(1)").alias("lefts"))
+    if left.isEmpty():
+        return links
+    one = rest.join(left, "g").withColumn("left", F.pmod(F.xxhash64("id", F.lit(2)), F.col("lefts"))).withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    other = now.join(left, "g").withColumn("left", F.explode(F.expr("sequence(0L, lefts - 1)")))
+    pairs = one.select("g", "left", "tile", "id").unionByName(other.select("g", "left", "tile", "id")).select(F.xxhash64("g", "left", "tile", F.lit(2)).alias("g"), "id").distinct()
+    return links.unionByName(solve(pairs))
 
 
 def _stars(ids: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
@@ -231,8 +269,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty table gives no rows; other columns are ignored. ids are integers.
 
     Equal sets collapse into their smallest id first, so copies cost one row each. ``sample_docs`` bounds the sample that finds
-    common shingles; it only decides an order, no result depends on it. Pairs that the trees leave tie documents to clusters; each
-    cluster is verified on whole sets, sent once a document. Groups and clusters over TILE members are dealt over pairs of tiles.
+    common shingles; it only decides an order and how groups are made, no result depends on it. Pairs that the trees leave tie documents to clusters; each
+    cluster is verified on whole sets. Groups and clusters over TILE members are compared in rounds (``in_rounds``). A common shingle's group never
+    meets in one task: such groups, at most ``common_most``, are told apart by sums and dealt at once.
     """
     spark = docs.sparkSession
     parts = spark.conf.get("spark.sql.shuffle.partitions")
@@ -248,34 +287,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = sampled.mapInArrow(hashes, "h long").groupBy("h").count().filter(F.col("count") >= common_in).orderBy(F.desc("count"), "h").limit(common_most).toPandas()["h"]
     late = spark.sparkContext.broadcast(np.sort(common.to_numpy(dtype=np.int64).view(np.uint64)))
 
-    sig_schema = "id long, n long, k1 long, k2 long, prefix array<long>, bits binary"
+    sig_schema = "id long, n long, k1 long, k2 long, prefix array<long>, hot array<long>, bits binary"
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = late.value
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                n, k1, k2, prefix, bits = [], [], [], [], []
-                for x in part.column(1).to_pylist():
+            for a, part_texts in small_parts(b.column(1)):
+                part = b.slice(a, len(part_texts))
+                n, k1, k2, prefix, hot, bits = [], [], [], [], [], []
+                for x in part_texts:
                     h = shingle_set(x, shingle)
                     n.append(h.size)
                     m = mix(h ^ _ODD)
                     k1.append(m.sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(mix(m)) if h.size else 0)
-                    order = h
-                    if last.size and h.size:
-                        known = last[np.minimum(np.searchsorted(last, h), last.size - 1)] == h
-                        order = np.concatenate([h[~known], h[known]])
-                    prefix.append(order[: h.size - needed(h.size, percent) + 1].view(np.int64) if h.size else np.zeros(0, dtype=np.int64))
+                    known = last[np.minimum(np.searchsorted(last, h), last.size - 1)] == h if last.size else np.zeros(h.size, dtype=bool)
+                    own, late_own = h[~known].view(np.int64), h[known].view(np.int64)
+                    room = h.size - needed(h.size, percent) + 1 if h.size else 0
+                    prefix.append(own[:room])
+                    hot.append(late_own[: max(0, room - own.size)])
                     bits.append(bitmap(h).tobytes() if h.size else b"")
-                ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.int64)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x))) for x in (prefix, hot)]
                 signed = [pa.array(np.array(k, dtype=np.uint64).view(np.int64)) for k in (k1, k2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *signed, lists, pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *signed, *lists, pa.array(bits, pa.binary())], names=["id", "n", "k1", "k2", "prefix", "hot", "bits"])
 
     sigs = materialize(rows.mapInArrow(signatures, sig_schema), "sets")
-    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "prefix", "bits")))
-    chosen = materialize(sigs.filter("n > 0").groupBy("n", "k1", "k2").agg(first.alias("r")).select("n", "k1", "k2", F.col("r.id").alias("rep"), F.col("r.prefix").alias("prefix"), F.col("r.bits").alias("bits")), "chosen")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "prefix", "hot", "bits")))
+    chosen = materialize(sigs.filter("n > 0").groupBy("n", "k1", "k2").agg(first.alias("r")).select("n", "k1", "k2", F.col("r.id").alias("rep"), F.col("r.prefix").alias("prefix"), F.col("r.hot").alias("hot"), F.col("r.bits").alias("bits")), "chosen")
     reps = chosen.select("n", "k1", "k2", "rep")
     own = chosen.filter("rep is not null").withColumnRenamed("rep", "id")
 
@@ -292,7 +330,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     heads = own.select(F.explode("prefix").alias("h"), "id").repartition(int(parts), "h").sortWithinPartitions("h")
     grouped = heads.mapInArrow(_packed(meet), "g long, id long, m long").distinct()
-    members = tiled(grouped).join(own.select("id", "n", "bits"), "id").select("g", "id", "n", "bits")
+    # Groups of the common shingles: their number is bounded, so sums of their members tell equal groups apart, and the first of these is picked.
+    hot = own.select(F.explode("hot").alias("h"), "id").distinct()
+    sums = hot.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(0xFFFFFF))).alias("y"))
+    picked = sums.filter("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h", "m")
+    grouped = materialize(grouped.unionByName(hot.join(F.broadcast(picked), "h").select(F.xxhash64("h", F.lit(0)).alias("g"), "id", "m")), "groups")
+    signed = own.select("id", "n", "bits")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches):
@@ -309,10 +352,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if found is not None:
                 yield found
 
-    likely = materialize(members.repartition(int(parts), "g").sortWithinPartitions("g").mapInArrow(_packed(candidates), LINK).distinct(), "likely")
+    def alike(members: DataFrame) -> DataFrame:
+        rows = members.join(signed, "id").select("g", "id", "n", "bits")
+        return rows.repartition(int(parts), "g").sortWithinPartitions("g").mapInArrow(_packed(candidates), LINK).distinct()
+
+    likely = materialize(in_rounds(grouped, alike), "likely")
     clusters = connected_components(likely)
     size = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    clusters = materialize(tiled(clusters.join(size, "component").select(F.xxhash64("component").alias("g"), F.col("node").alias("id"), "m")), "clusters")
+    clusters = materialize(clusters.join(size, "component").select(F.xxhash64("component").alias("g"), F.col("node").alias("id"), "m"), "clusters")
 
     # Verification on whole sets, which are made again for the documents that are left. A bitmap of fixed size tells them: a chance hit costs a set.
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
@@ -330,7 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in part.column(2).to_pylist()], pa.binary())], names=["id", "hashes"])
 
     texts = rows.filter("__id is not null").select(F.col("__id").alias("id"), "__text").select("id", slot.alias("slot"), "__text")
-    sets = texts.mapInArrow(whole, "id long, hashes binary").join(clusters, "id").select("g", "id", "hashes")
+    sets = materialize(texts.mapInArrow(whole, "id long, hashes binary"), "whole")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches):
@@ -356,7 +403,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if found is not None:
                 yield found
 
-    links = materialize(sets.repartition(int(parts), "g").sortWithinPartitions("g", "id").mapInArrow(_packed(verify), LINK).distinct(), "pairs")
+    def verified(members: DataFrame) -> DataFrame:
+        rows = sets.join(members, "id").select("g", "id", "hashes")
+        return rows.repartition(int(parts), "g").sortWithinPartitions("g", "id").mapInArrow(_packed(verify), LINK).distinct()
+
+    links = materialize(in_rounds(clusters, verified), "pairs")
     # A document whose rows hold several sets ties their classes together.
     ties = sigs.filter("n > 0").select("id", "n", "k1", "k2").distinct().groupBy("id").agg(F.count("*").alias("c")).filter("c > 1 and id is not null").select("id")
     tied = salted_join(sigs.filter("n > 0").join(ties, "id", "left_semi").select("id", "n", "k1", "k2"), reps, ["n", "k1", "k2"], ["id"]).filter("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
