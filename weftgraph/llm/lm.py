@@ -228,37 +228,47 @@ def learn_texts(t: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]], cont
     return total
 
 
-def average(rows: DataFrame, p: Parameters) -> Parameters:
-    """The mean over shards of each row of the parameters, weighed by how much the shard saw of it.
+PART = 256  # rows of the parameters that travel together
+SUMS = "which int, part int, rows binary, sums binary, weights binary"
+
+
+def sums_of(t: Trainer) -> Iterator[pa.RecordBatch]:
+    """What a shard learned, weighed by how much it saw: only the rows that it touched, so a small shard sends little."""
+    for which, (a, weights) in enumerate(zip(t.p.arrays(), t.touched, strict=True)):
+        rows = np.flatnonzero(weights)
+        flat = a.reshape(a.shape[0], -1)
+        cuts = np.flatnonzero(np.diff(rows // PART, prepend=-1))
+        parts = [(rows[x:y], which, int(rows[x] // PART)) for x, y in zip(cuts, [*cuts[1:], rows.size], strict=True)]
+        if parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.int32()), pa.array([(r % PART).astype(np.uint8).tobytes() for r, *_ in parts], pa.binary()), pa.array([(flat[r] * weights[r, None]).astype(_F).tobytes() for r, *_ in parts], pa.binary()), pa.array([weights[r].astype(_F).tobytes() for r, *_ in parts], pa.binary())], names=["which", "part", "rows", "sums", "weights"])
 
-    rows: (which int, part int, sums binary, weights binary), already weighed; equal parts meet in one task, which adds them up.
-    """
-    schema = "which int, part int, sums binary, weights binary"
+
+def average(rows: DataFrame, p: Parameters) -> Parameters:
+    """The mean over shards of each row of the parameters, weighed by how much the shard saw of it; ``rows`` are those of ``sums_of``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for which, part, sums, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                new = [np.frombuffer(sums), np.frombuffer(weights)]
-                old = held.get((which, part))
-                held[which, part] = new if old is None else [x + y for x, y in zip(old, new, strict=True)]
+            for which, part, own, sums, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, w = np.frombuffer(own, dtype=np.uint8), np.frombuffer(weights, dtype=_F)
+                x = np.frombuffer(sums, dtype=_F).reshape(at.size, -1)
+                total = held.setdefault((which, part), (np.zeros((PART, x.shape[1])), np.zeros(PART)))
+                total[0][at] += x
+                total[1][at] += w
         for (which, part), (sums, weights) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], names=["which", "part", "sums", "weights"])
+            some = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([some.astype(np.uint8).tobytes()], pa.binary()), pa.array([(sums[some] / weights[some, None]).astype(_F).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["which", "part", "rows", "sums", "weights"])
 
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = p.copy()
-    for which, part, sums, weights in rows.repartition(spread, "which", "part").mapInArrow(add, schema).collect():
+    for which, part, own, means, _ in rows.repartition(spread, "which", "part").mapInArrow(add, SUMS).collect():
         a = out.arrays()[which]
-        w = np.frombuffer(weights)
-        own = slice(part * PART, part * PART + w.size)
-        mean = np.frombuffer(sums).reshape(w.size, *a.shape[1:]) / np.maximum(w, 1e-300).reshape(-1, *[1] * (a.ndim - 1))
-        a[own] = np.where((w > 0).reshape(-1, *[1] * (a.ndim - 1)), mean, a[own]).astype(_F)
+        at = part * PART + np.frombuffer(own, dtype=np.uint8).astype(np.int64)
+        a[at] = np.frombuffer(means, dtype=_F).reshape(at.size, *a.shape[1:])
     return out
 
 
-PART = 2048  # rows of the parameters that travel together
-
-
 def train(codes: DataFrame, vocabulary, frequency: np.ndarray, n: int, dim: int, rate: float, noise: int, batch: int, rounds: int, shard_tokens: int, least_shards: int, seed: int) -> Parameters:
     """Every training text is learned from once, in one of ``rounds`` by its digest. In a round, fixed shards, also by digest, start from the
     same parameters and learn from their texts in the digests' order; Spark averages what they learned. Neither the partitions of the input nor
@@ -267,7 +277,6 @@ def train(codes: DataFrame, vocabulary, frequency: np.ndarray, n: int, dim: int,
     context, contexts = vocabulary.value.context, vocabulary.value.contexts
     p = Parameters.start(frequency, contexts, dim, seed)
     shards = max(least_shards, -(-n // (shard_tokens * rounds)))
-    schema = "which int, part int, sums binary, weights binary"
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((p, frequency))
 
@@ -276,14 +285,11 @@ def train(codes: DataFrame, vocabulary, frequency: np.ndarray, n: int, dim: int,
             t = Trainer(start.copy(), own, rate / np.sqrt(k + 1), noise, seed + k)
             if not learn_texts(t, (lists_of(part.column(0)) for b in batches for part in byte_parts(b, 0)), context, batch):
                 return
-            for which, (a, weights) in enumerate(zip(t.p.arrays(), t.touched, strict=True)):
-                sums = a * weights.reshape(-1, *[1] * (a.ndim - 1))
-                for i in range(0, a.shape[0], PART):
-                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([i // PART], pa.int32()), pa.array([sums[i : i + PART].astype(np.float64).tobytes()], pa.binary()), pa.array([weights[i : i + PART].tobytes()], pa.binary())], names=["which", "part", "sums", "weights"])
+            yield from sums_of(t)
 
         own = codes.filter(F.expr(f"pmod(conv(substring(hex(digest), 1, 4), 16, 10), {rounds}) = {k}"))
         dealt = own.select("outputs", "digest").repartition(shards, F.expr("substring(digest, 3, 4)")).sortWithinPartitions("digest").select("outputs")
-        p = average(dealt.mapInArrow(learn, schema), p)
+        p = average(dealt.mapInArrow(learn, SUMS), p)
         shared.unpersist()
     return p
 
@@ -372,7 +378,7 @@ def encode(rows: DataFrame, vocabulary) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, head: int = 1 << 18, outputs: int = 1 << 14, dim: int = 32, rate: float = 0.05, noise: int = 8, batch: int = 2048, rounds: int = 4, shard_tokens: int = 25_000_000, least_shards: int = 8, seed: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, head: int = 1 << 18, outputs: int = 1 << 14, dim: int = 32, rate: float = 0.05, noise: int = 8, batch: int = 2048, rounds: int = 4, shard_tokens: int = 25_000_000, least_shards: int = 12, seed: int = 1
 ) -> DataFrame:
     """Each row of ``docs`` as id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
