@@ -269,7 +269,7 @@ def groups_rule(rows, k, percent):
     return {i: root(i) for i in up}, sets
 
 
-@pytest.mark.parametrize("tile", [2000, 3])
+@pytest.mark.parametrize("tile", [2000, 8])
 def test_jaccard_join(spark, rows, none, monkeypatch, tile):
     monkeypatch.setattr(shingle_join, "TILE", tile)
     rng = random.Random(9)
