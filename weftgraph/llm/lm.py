@@ -270,8 +270,8 @@ def average(rows: DataFrame, p: Parameters) -> Parameters:
 
 
 def train(codes: DataFrame, vocabulary, frequency: np.ndarray, n: int, dim: int, rate: float, noise: int, batch: int, rounds: int, shard_tokens: int, least_shards: int, seed: int) -> Parameters:
-    """Every training text is learned from once, in one of ``rounds`` by its digest. In a round, fixed shards, also by digest, start from the
-    same parameters and learn from their texts in the digests' order; Spark averages what they learned. Neither the partitions of the input nor
+    """Every training text is learned from once, in one of ``rounds`` by a hash of its id and digest. In a round, fixed shards, also by this hash, start from the
+    same parameters and learn from their texts in its order; Spark averages what they learned. Neither the partitions of the input nor
     the number of cores changes the result; the number of shards grows with the tokens."""
     spark = codes.sparkSession
     context, contexts = vocabulary.value.context, vocabulary.value.contexts
@@ -287,8 +287,9 @@ def train(codes: DataFrame, vocabulary, frequency: np.ndarray, n: int, dim: int,
                 return
             yield from sums_of(t)
 
-        own = codes.filter(F.expr(f"pmod(conv(substring(hex(digest), 1, 4), 16, 10), {rounds}) = {k}"))
-        dealt = own.select("outputs", "digest").repartition(shards, F.expr("substring(digest, 3, 4)")).sortWithinPartitions("digest").select("outputs")
+        # The id goes with the digest: copies of one text are dealt over rounds and shards like any others.
+        own = codes.select("outputs", F.xxhash64("__id", "digest").alias("key")).filter(F.pmod("key", F.lit(rounds)) == k)
+        dealt = own.repartition(shards, F.expr(f"key div {rounds}")).sortWithinPartitions("key").select("outputs")
         p = average(dealt.mapInArrow(learn, SUMS), p)
         shared.unpersist()
     return p
