@@ -62,6 +62,11 @@ def spectral_embedding(graph: Graph, dimensions: int = 8, seed: int = 42, sweeps
     return ids.join(signed, "id").select("node", *names).orderBy("node")
 
 
+def embedding_with_communities(embedding: DataFrame, communities: DataFrame) -> DataFrame:
+    """``embedding`` with the community of every node, null where it has none; both are keyed by node, so neither side is broadcast."""
+    return embedding.join(communities.select("node", "community"), "node", "left")
+
+
 def nearest_nodes(embedding: DataFrame, query: str, top_n: int = 5, id_col: str = "node", vector_col: str | None = None) -> DataFrame:
     """(node, similarity): cosine with every other row, the largest first. One row is broadcast, the rest is a scan."""
     parts = F.col(vector_col) if vector_col else F.array(*[c for c in embedding.columns if c.startswith("embedding_")])

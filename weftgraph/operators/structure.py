@@ -118,8 +118,9 @@ def bridge_analysis(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return at, by
 
 
-def structural_node_table(graph: Graph) -> DataFrame:
-    """Centralities, community, core role and articulation of every node."""
+def structural_node_table(graph: Graph, communities: DataFrame | None = None) -> DataFrame:
+    """Centralities, community (of the given partition, else of ``community_table``), core role and articulation of every node."""
+    parts = communities if communities is not None else community_table(graph)
     cut = bridge_analysis(graph)[0].select("node", F.lit(True).alias("is_articulation"))
-    out = node_metrics(graph).join(community_table(graph), "node", "left").join(core_periphery_table(graph).drop("degree"), "node", "left").join(cut, "node", "left")
+    out = node_metrics(graph).join(parts, "node", "left").join(core_periphery_table(graph).drop("degree"), "node", "left").join(cut, "node", "left")
     return out.withColumn("is_articulation", F.coalesce("is_articulation", F.lit(False)))

@@ -38,6 +38,13 @@ def sparse(spark: SparkSession, sf_dir: str) -> Graph:
     return edges.event_network(spark, sf_dir, "error")
 
 
+def order_network(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts and their suppliers, weighted by the ordered quantity of all line items: large, sparse and without triangles."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.col("l_quantity").cast("double").alias("weight"))
+    return edges.graph_from_edgelist(rows)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     """One graph for each event type and day, labelled with its type."""
     rows = edges.event_edges(spark, sf_dir).withColumn("graph", F.concat_ws(":", "event_type", "day"))
@@ -56,6 +63,10 @@ def _first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.nearest_nodes(vectors, "0", 10, vector_col="embedding")
 
 
+def _fifths(g: Graph) -> DataFrame:
+    return g.degrees.select("node", F.expr("cast(node as int) % 5 + 1").cast("int").alias("community"))
+
+
 def _partitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a, b = purchases(spark, sf_dir), clicks(spark, sf_dir)
     own = lambda g, expr: g.degrees.select("node", F.expr(expr).cast("int").alias("community"))
@@ -92,8 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eigenvector": lambda s, d: rounded(centrality.eigenvector(purchases(s, d), tolerance=1e-11), 5),
     "core_numbers": lambda s, d: structure.core_numbers(sparse(s, d)),
     "core_periphery": lambda s, d: rounded(structure.core_periphery_table(sparse(s, d))),
-    "bridges": lambda s, d: structure.bridge_analysis(sparse(s, d))[1].select("source", "target", "components_after_removal"),
-    "articulation_nodes": lambda s, d: structure.bridge_analysis(sparse(s, d))[0].select("node", "components_after_removal", "largest_component_after"),
+    "bridges": lambda s, d: rounded(structure.bridge_analysis(sparse(s, d))[1]),
+    "articulation_nodes": lambda s, d: rounded(structure.bridge_analysis(sparse(s, d))[0]),
     "modularity_of_partition": lambda s, d: rounded(communities.modularity(purchases(s, d), _partitions(s, d)[0])),
     "rich_club_phi": lambda s, d: rounded((lambda g: richclub.rich_club_phi(g, richclub.thresholds_of(g, "degree")))(purchases(s, d))),
     "rich_club_phi_weighted": lambda s, d: rounded((lambda g: richclub.rich_club_phi(g, richclub.thresholds_of(g, "degree"), weighted=True))(purchases(s, d))),
@@ -102,8 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "benjamini_hochberg": lambda s, d: rounded(richclub.benjamini_hochberg(_p_values(s, d)).select("event_id", F.nullif(F.nanvl("q_bh", F.lit(-1.0)), F.lit(-1.0)).alias("q_bh"))),
     "compare_networks": lambda s, d: rounded(compare.compare_networks(purchases(s, d), clicks(s, d))[0]),
     "compare_nodes": lambda s, d: rounded(compare.compare_networks(purchases(s, d), sparse(s, d))[1]),
-    "partition_agreement": lambda s, d: rounded(compare.compare_partitions(*_partitions(s, d))[0].select("common_nodes", "adjusted_rand_index", "normalized_mutual_information")),
-    "link_features": lambda s, d: rounded(links.wedge_features(purchases(s, d)).drop("adamic_adar_2")),
+    "partition_agreement": lambda s, d: rounded(compare.compare_partitions(*_partitions(s, d))[0]),
+    "link_features": lambda s, d: rounded(links.wedge_features(purchases(s, d))),
     "top_link_predictions": lambda s, d: rounded(links.top_link_predictions(sparse(s, d), 10**6)),
     "pair_features": lambda s, d: rounded(links.pair_features(sparse(s, d), sparse(s, d).links.select(F.col("src").alias("source"), F.col("dst").alias("target")))),
     "non_edges": lambda s, d: links.non_edges(sparse(s, d)),
@@ -131,6 +142,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neural_graph_classification": lambda s, d: rounded(gnn.neural_graph_classification(*generated.demo_graph_dataset(s))[1]),
     "demo_graphs": lambda s, d: generated.demo_graph_dataset(s)[0].edges,
     "navigator": lambda s, d: rounded(report.navigator(s)),
+    "network_statistics_of_partition": lambda s, d: (lambda g: rounded(measures.network_statistics_table(g, _fifths(g))))(sparse(s, d)),
+    "structural_node_table_of_partition": lambda s, d: (lambda g: rounded(structure.structural_node_table(g, _fifths(g))))(sparse(s, d)),
+    "community_sizes_of_partition": lambda s, d: rounded(communities.community_sizes(_partitions(s, d)[0])),
+    "partition_assignments": lambda s, d: rounded(compare.compare_partitions(*_partitions(s, d))[1]),
+    "partition_flows": lambda s, d: rounded(compare.compare_partitions(*_partitions(s, d))[2]),
+    "order_network_degrees": lambda s, d: rounded(order_network(s, d).degrees),
+    "order_network_components": lambda s, d: order_network(s, d).components,
+    "order_network_clustering": lambda s, d: rounded(measures.clustering(order_network(s, d))),
 }
 
 
@@ -195,6 +214,65 @@ def _q(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
 
+def _between(name: str) -> str:
+    return f"""
+{name}_b AS (SELECT n.node, coalesce(b.x, 0) / ((SELECT count(*) FROM {name}_d) - 1) / ((SELECT count(*) FROM {name}_d) - 2) AS betweenness FROM {name}_d n LEFT JOIN (
+  SELECT a.v AS node, sum(a.paths * b.paths / p.paths) AS x FROM {name}_h p JOIN {name}_h a ON a.s = p.s JOIN {name}_h b ON b.s = a.v AND b.v = p.v
+  WHERE a.d + b.d = p.d AND a.v <> p.s AND a.v <> p.v GROUP BY a.v) b USING (node))"""
+
+
+def _central(name: str) -> str:
+    """Every centrality; both iterations end with the first round whose L1 change is below their tolerance times the nodes."""
+    return f"""
+{name}_n AS (SELECT count(*)::DOUBLE AS n FROM {name}_d),
+{name}_pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS r FROM {name}_d, {name}_n
+  UNION ALL SELECT x.i + 1, e.v, 0.15 / max(n) + 0.85 * sum(x.r * e.weight / d.strength) FROM {name}_pr x JOIN {name}_s e ON x.node = e.u JOIN {name}_d d ON d.node = e.u, {name}_n WHERE x.i < 100 GROUP BY x.i, e.v),
+{name}_pi AS (SELECT min(i) AS i FROM (SELECT y.i FROM {name}_pr x JOIN {name}_pr y ON x.node = y.node AND y.i = x.i + 1 GROUP BY y.i HAVING sum(abs(y.r - x.r)) < (SELECT n * 1e-6 FROM {name}_n))),
+{name}_ev AS (SELECT 0 AS i, node, 1.0::DOUBLE / sqrt(n) AS x FROM {name}_d, {name}_n
+  UNION ALL SELECT i, node, y / sqrt(sum(y * y) OVER ()) FROM (
+    SELECT a.i + 1 AS i, e.v AS node, sum(a.x * e.weight) AS y FROM {name}_ev a JOIN (SELECT u, v, weight FROM {name}_s UNION ALL SELECT node, node, 1.0 FROM {name}_d) e ON a.node = e.u WHERE a.i < 1000 GROUP BY a.i, e.v)),
+{name}_ei AS (SELECT min(i) AS i FROM (SELECT y.i FROM {name}_ev x JOIN {name}_ev y ON x.node = y.node AND y.i = x.i + 1 GROUP BY y.i HAVING sum(abs(y.x - x.x)) < (SELECT n * 1e-9 FROM {name}_n))),
+{name}_cl AS (SELECT s AS node, coalesce((count(*) - 1) / nullif(sum(d), 0)::DOUBLE, 0) * (count(*) - 1) / ((SELECT count(*) FROM {name}_d) - 1) AS closeness FROM {name}_h GROUP BY s),
+{name}_m AS (SELECT d.node, degree, strength, degree / (n - 1) AS degree_centrality, betweenness, closeness, r AS pagerank,
+    CASE WHEN (SELECT count(DISTINCT component) FROM {name}_cc) = 1 AND n > 2 THEN x ELSE 'NaN'::DOUBLE END AS eigenvector
+  FROM {name}_d d JOIN {name}_b USING (node) JOIN {name}_cl USING (node) JOIN {name}_pr p ON p.node = d.node AND p.i = (SELECT i FROM {name}_pi)
+  LEFT JOIN {name}_ev v ON v.node = d.node AND v.i = (SELECT i FROM {name}_ei), {name}_n)"""
+
+
+_METRICS = "node, degree, round(strength, 6) AS strength, round(degree_centrality, 6) AS degree_centrality, round(betweenness, 6) AS betweenness, round(closeness, 6) AS closeness, round(pagerank, 6) AS pagerank, round(eigenvector, 6) AS eigenvector"
+_ORDERS = """
+o AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, sum(l_quantity)::DOUBLE AS weight FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2),
+o_s AS (SELECT src AS u, dst AS v, weight FROM o UNION ALL SELECT dst, src, weight FROM o), o_d AS (SELECT u AS node, count(*) AS degree, sum(weight) AS strength FROM o_s GROUP BY u)"""
+_CUTS = """
+aw AS (SELECT x.node AS gone, y.node AS s, y.node AS v FROM s_d x, s_d y WHERE x.node <> y.node UNION SELECT w.gone, w.s, e.v FROM aw w JOIN s_s e ON w.v = e.u WHERE e.v <> w.gone),
+ac AS (SELECT gone, s, min(v) AS component FROM aw GROUP BY 1, 2), az AS (SELECT gone, component, count(*) AS n FROM ac GROUP BY 1, 2),
+an AS (SELECT gone AS node, count(*) AS components_after_removal, max(n) AS largest_component_after FROM az GROUP BY gone HAVING count(*) > (SELECT count(DISTINCT component) FROM s_cc))"""
+#: Labels of B matched one to one with those of A, the largest overlap first, then the smallest labels (below 100 each).
+_ALIGNED = """
+z AS (SELECT node, CAST(node AS INT) % 5 + 1 AS a, CAST(node AS INT) // 3 % 4 + 1 AS b FROM p_d JOIN c_d USING (node)),
+t AS (SELECT a, b, count(*) AS c FROM z GROUP BY 1, 2),
+gm AS (SELECT 0 AS i, CAST([] AS INT[]) AS aa, CAST([] AS INT[]) AS bb
+  UNION ALL SELECT i + 1, list_append(aa, best.a), list_append(bb, best.b) FROM (
+    SELECT i, aa, bb, arg_max({'a': a, 'b': b}, c * 10000 - a * 100 - b) AS best FROM gm JOIN t ON NOT list_contains(aa, a) AND NOT list_contains(bb, b) GROUP BY i, aa, bb)),
+gl AS (SELECT aa, bb FROM gm ORDER BY i DESC LIMIT 1),
+lb AS (SELECT DISTINCT CAST(node AS INT) // 3 % 4 + 1 AS b FROM c_d),
+al AS (SELECT b, list_extract(aa, list_position(bb, b)) AS aligned FROM lb, gl WHERE list_contains(bb, b)
+  UNION ALL SELECT b, (SELECT max(CAST(node AS INT) % 5 + 1) FROM p_d) + row_number() OVER (ORDER BY b) FROM lb, gl WHERE NOT list_contains(bb, b)),
+za AS (SELECT node, a AS community_a, b AS community_b, aligned AS community_b_aligned, a <> aligned AS reassigned FROM z JOIN al USING (b))"""
+
+
+def _navigator() -> str:
+    """Goals and profiles are the fixed values of the report; what follows from them is worked out here."""
+    rows = lambda found: ", ".join("(" + ", ".join(found_) + ")" for found_ in found)
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    many = lambda xs: "[" + ", ".join(text(x) for x in xs) + "]"
+    return f"""
+WITH g(goal, needs) AS (VALUES {rows([text(g[0]), many(g[4])] for g in report.GOALS)}), p(profile, has) AS (VALUES {rows([text(p[0]), many(p[2])] for p in report.PROFILES)}),
+f AS (SELECT goal, profile, list_sort(list_filter(needs, lambda x: NOT list_contains(has, x))) AS missing FROM g, p)
+SELECT goal, profile, len(missing) = 0 AS supported, array_to_string(missing, ',') AS missing,
+  (SELECT count(*) FROM f o WHERE o.profile = f.profile AND o.goal <> f.goal AND len(o.missing) = 0) AS compatible FROM f"""
+
+
 _CORES = """
 cr AS (SELECT 0 AS i, node, degree AS core FROM s_d
   UNION ALL SELECT i + 1, u, max(least(rn, near)) FROM (
@@ -264,13 +342,12 @@ ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM p_d
     "core_periphery": _q([_S, _CORES], """
 SELECT node, core AS core_number, round(core / top, 6) AS core_score, CASE WHEN core = top THEN 'maximal core' WHEN core / top >= 0.5 THEN 'inner shell' ELSE 'periphery' END AS role, degree
 FROM (SELECT node, core, max(core) OVER () AS top FROM cr WHERE i = 60) JOIN s_d USING (node)"""),
-    "bridges": _q([_S, _reach("s"), """
-bw AS (SELECT src AS x, dst AS y, src AS v FROM s UNION SELECT w.x, w.y, e.v FROM bw w JOIN s_s e ON w.v = e.u WHERE NOT (e.u = w.x AND e.v = w.y) AND NOT (e.u = w.y AND e.v = w.x))"""],
-        "SELECT src AS source, dst AS target, (SELECT count(DISTINCT component) FROM s_cc) + 1 AS components_after_removal FROM s WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.x = s.src AND bw.y = s.dst AND bw.v = s.dst)"),
-    "articulation_nodes": _q([_S, _reach("s"), """
-aw AS (SELECT x.node AS gone, y.node AS s, y.node AS v FROM s_d x, s_d y WHERE x.node <> y.node UNION SELECT w.gone, w.s, e.v FROM aw w JOIN s_s e ON w.v = e.u WHERE e.v <> w.gone),
-ac AS (SELECT gone, s, min(v) AS component FROM aw GROUP BY 1, 2), az AS (SELECT gone, component, count(*) AS n FROM ac GROUP BY 1, 2)"""],
-        "SELECT gone AS node, count(*) AS components_after_removal, max(n) AS largest_component_after FROM az GROUP BY gone HAVING count(*) > (SELECT count(DISTINCT component) FROM s_cc)"),
+    "bridges": _q([_S, _walks("s"), _reach("s"), """
+bw AS (SELECT src AS x, dst AS y, src AS v FROM s UNION SELECT w.x, w.y, e.v FROM bw w JOIN s_s e ON w.v = e.u WHERE NOT (e.u = w.x AND e.v = w.y) AND NOT (e.u = w.y AND e.v = w.x)),
+br AS (SELECT src, dst FROM s WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.x = s.src AND bw.y = s.dst AND bw.v = s.dst))"""], """
+SELECT src AS source, dst AS target, round((SELECT sum(a.paths * b.paths / p.paths) FROM s_h a, s_h b, s_h p WHERE p.s = a.s AND p.v = b.v AND a.d + 1 + b.d = p.d AND ((a.v = br.src AND b.s = br.dst) OR (a.v = br.dst AND b.s = br.src)))
+  / ((SELECT count(*) FROM s_d) * ((SELECT count(*) FROM s_d) - 1)), 6) AS edge_betweenness, (SELECT count(DISTINCT component) FROM s_cc) + 1 AS components_after_removal FROM br"""),
+    "articulation_nodes": _q([_S, _walks("s"), _reach("s"), _between("s"), _CUTS], "SELECT node, round(betweenness, 6) AS betweenness, components_after_removal, largest_component_after FROM an JOIN s_b USING (node)"),
     "modularity_of_partition": _q([_P], """
 SELECT round(sum(coalesce(l.w, 0) / t.w - (d.w / (2 * t.w)) ** 2), 6) AS modularity FROM (SELECT CAST(node AS INT) % 5 AS c, sum(strength) AS w FROM p_d GROUP BY 1) d
 LEFT JOIN (SELECT CAST(src AS INT) % 5 AS c, sum(weight) AS w FROM p WHERE CAST(src AS INT) % 5 = CAST(dst AS INT) % 5 GROUP BY 1) l USING (c), (SELECT sum(weight) AS w FROM p) t"""),
@@ -299,13 +376,13 @@ SELECT coalesce(a.node, b.node) AS node, coalesce(a.degree, 0) AS degree_a, coal
   round(coalesce(b.degree / ((SELECT count(*) FROM s_d) - 1), 0) - coalesce(a.degree / ((SELECT count(*) FROM p_d) - 1), 0), 6) AS centrality_change,
   CASE WHEN a.node IS NULL THEN 'gained' WHEN b.node IS NULL THEN 'lost' ELSE 'shared' END AS status, abs(coalesce(b.degree, 0) - coalesce(a.degree, 0)) AS absolute_change
 FROM p_d a FULL JOIN s_d b ON a.node = b.node"""),
-    "partition_agreement": _q([_P, _C, """
-z AS (SELECT CAST(node AS INT) % 5 AS a, CAST(node AS INT) // 3 % 4 AS b FROM p_d JOIN c_d USING (node)),
-t AS (SELECT a, b, count(*)::DOUBLE AS c FROM z GROUP BY 1, 2), ta AS (SELECT sum(c * (c - 1) / 2) AS p, sum(c * ln(c)) AS h FROM (SELECT a, sum(c) AS c FROM t GROUP BY a)),
-tb AS (SELECT sum(c * (c - 1) / 2) AS p, sum(c * ln(c)) AS h FROM (SELECT b, sum(c) AS c FROM t GROUP BY b)), tt AS (SELECT sum(c) AS n, sum(c * (c - 1) / 2) AS s, sum(c * ln(c)) AS h FROM t)"""], """
+    "partition_agreement": _q([_P, _C, _ALIGNED, """
+w AS (SELECT a, b, c::DOUBLE AS c FROM t), ta AS (SELECT sum(c * (c - 1) / 2) AS p, sum(c * ln(c)) AS h FROM (SELECT a, sum(c) AS c FROM w GROUP BY a)),
+tb AS (SELECT sum(c * (c - 1) / 2) AS p, sum(c * ln(c)) AS h FROM (SELECT b, sum(c) AS c FROM w GROUP BY b)), tt AS (SELECT sum(c) AS n, sum(c * (c - 1) / 2) AS s, sum(c * ln(c)) AS h FROM w)"""], """
 SELECT CAST(n AS BIGINT) AS common_nodes, round((s - ta.p * tb.p / (n * (n - 1) / 2)) / ((ta.p + tb.p) / 2 - ta.p * tb.p / (n * (n - 1) / 2)), 6) AS adjusted_rand_index,
-  round((ln(n) + (tt.h - ta.h - tb.h) / n) / ((ln(n) - ta.h / n + ln(n) - tb.h / n) / 2), 6) AS normalized_mutual_information FROM tt, ta, tb"""),
-    "link_features": _q([_P], "SELECT x.v AS source, y.v AS target, count(*) AS common_neighbors, round(sum(1 / ln(d.degree)), 6) AS adamic_adar FROM p_s x JOIN p_s y ON x.u = y.u AND x.v < y.v JOIN p_d d ON d.node = x.u GROUP BY 1, 2"),
+  round((ln(n) + (tt.h - ta.h - tb.h) / n) / ((ln(n) - ta.h / n + ln(n) - tb.h / n) / 2), 6) AS normalized_mutual_information,
+  round((SELECT avg(CAST(reassigned AS INT)) FROM za), 6) AS fraction_reassigned FROM tt, ta, tb"""),
+    "link_features": _q([_P], "SELECT x.v AS source, y.v AS target, count(*) AS common_neighbors, round(sum(CASE WHEN d.degree > 1 THEN 1 / ln(d.degree) END), 6) AS adamic_adar, round(sum(1 / ln(greatest(d.degree, 2))), 6) AS adamic_adar_2 FROM p_s x JOIN p_s y ON x.u = y.u AND x.v < y.v JOIN p_d d ON d.node = x.u GROUP BY 1, 2"),
     "top_link_predictions": _q([_S, """
 f AS (SELECT x.v AS source, y.v AS target, count(*) AS cn, sum(1 / ln(d.degree)) AS aa FROM s_s x JOIN s_s y ON x.u = y.u AND x.v < y.v JOIN s_d d ON d.node = x.u GROUP BY 1, 2),
 pairs AS (SELECT a.node AS source, b.node AS target, a.degree AS ka, b.degree AS kb FROM s_d a JOIN s_d b ON a.node < b.node WHERE NOT EXISTS (SELECT 1 FROM s WHERE src = a.node AND dst = b.node))"""], """
@@ -334,4 +411,28 @@ SELECT n.graph, nodes::DOUBLE AS nodes, edges::DOUBLE AS edges, round(2.0 * edge
   round(average_clustering, 6) AS average_clustering, round(transitivity, 6) AS transitivity, round(CASE WHEN edges > 1 AND a.n * q - s * s <> 0 THEN (a.n * p - s * s) / (a.n * q - s * s) ELSE 0 END, 6) AS assortativity,
   components::DOUBLE AS components, round(largest / nodes::DOUBLE, 6) AS largest_component_fraction, round(inverse / (nodes * (nodes - 1)), 6) AS global_efficiency
 FROM g_n n JOIN g_a a ON n.graph = a.graph JOIN (SELECT graph, count(*) AS components, max(size) AS largest FROM g_c GROUP BY graph) c ON n.graph = c.graph JOIN (SELECT graph, sum(1.0 / d) AS inverse FROM g_h WHERE d > 0 GROUP BY graph) h ON n.graph = h.graph"""),
+    "node_metrics": _q([_S, _walks("s"), _reach("s"), _between("s"), _central("s")], f"SELECT {_METRICS} FROM s_m"),
+    "network_statistics_of_partition": _q([_S, _walks("s"), _reach("s"), _triangles("s"), _summary("s"), """
+inside AS (SELECT CAST(src AS INT) % 5 AS c, sum(weight) AS w FROM s WHERE CAST(src AS INT) % 5 = CAST(dst AS INT) % 5 GROUP BY 1),
+ends AS (SELECT CAST(node AS INT) % 5 AS c, sum(strength) AS w FROM s_d GROUP BY 1),
+big AS (SELECT node FROM s_cc WHERE component = (SELECT component FROM s_cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)),
+more AS (SELECT avg(degree) AS average_degree, max(degree) AS maximum_degree, stddev_pop(degree) AS degree_std, avg(strength) AS average_strength,
+  (SELECT sum(1.0 / d) FROM s_h WHERE d > 0) / (count(*) * (count(*) - 1)) AS global_efficiency,
+  (SELECT sum(coalesce(inside.w, 0) / t.w - (ends.w / (2 * t.w)) ** 2) FROM ends LEFT JOIN inside USING (c), (SELECT sum(weight) AS w FROM s) t) AS modularity,
+  (SELECT max(d) FROM s_h WHERE s IN (FROM big)) AS largest_component_diameter,
+  (SELECT sum(d)::DOUBLE / (count(DISTINCT s) * (count(DISTINCT s) - 1)) FROM s_h WHERE s IN (FROM big)) AS largest_component_mean_path FROM s_d)"""],
+        " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}::DOUBLE, 6) AS value, '{text}' AS interpretation FROM s_sum, more" for m, text in measures.MEANINGS.items())),
+    "structural_node_table_of_partition": _q([_S, _walks("s"), _reach("s"), _between("s"), _central("s"), _CORES, _CUTS], f"""
+SELECT {_METRICS}, CAST(node AS INT) % 5 + 1 AS community, core AS core_number, round(core / top, 6) AS core_score,
+  CASE WHEN core = top THEN 'maximal core' WHEN core / top >= 0.5 THEN 'inner shell' ELSE 'periphery' END AS role, node IN (SELECT node FROM an) AS is_articulation
+FROM s_m JOIN (SELECT node, core, max(core) OVER () AS top FROM cr WHERE i = 60) USING (node)"""),
+    "community_sizes_of_partition": _q([_P], "SELECT CAST(node AS INT) % 5 + 1 AS community, count(*) AS size FROM p_d GROUP BY 1"),
+    "partition_assignments": _q([_P, _C, _ALIGNED], "SELECT * FROM za"),
+    "partition_flows": _q([_P, _C, _ALIGNED], "SELECT community_a, community_b_aligned, count(*) AS nodes FROM za GROUP BY 1, 2"),
+    "navigator": _navigator(),
+    "order_network_degrees": _q([_ORDERS], "SELECT node, degree, round(strength, 6) AS strength FROM o_d"),
+    "order_network_components": _q([_ORDERS, """
+lab AS (SELECT 0 AS i, node, node AS label FROM o_d
+  UNION ALL SELECT i + 1, node, min(label) FROM (SELECT i, node, label FROM lab UNION ALL SELECT i, e.v, label FROM lab JOIN o_s e ON lab.node = e.u) WHERE i < 40 GROUP BY i, node)"""], "SELECT node, label AS component FROM lab WHERE i = 40"),
+    "order_network_clustering": _q([_ORDERS], "SELECT node, 0 AS triangles, 0.0::DOUBLE AS clustering, 0.0::DOUBLE AS weighted_clustering FROM o_d"),
 }

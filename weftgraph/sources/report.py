@@ -104,7 +104,7 @@ def run_parameters(**given) -> dict:
     if out["seed"] < 0:
         raise ValueError("seed must not be negative")
     if out["richness"] == "strength" and not out["weighted"]:
-        raise ValueError("Strength-based richness requires weighted=True.")
+        raise ValueError("richness='strength' goes with weighted=True only")
     return out
 
 
