@@ -129,7 +129,8 @@ def mix_sources(
     picks = picks.withColumn("b", permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), seed, F.col("__rank").cast("string"), F.col("epoch").cast("string"))).select("__rank", "b", "epoch", "shard")
     spread = plan.filter("size > 0").withColumn("b", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spread = spread.select("__id", "__h", "__source", "__rank", "start", "size", "b", (F.greatest(F.col("start"), F.col("b") * block) - F.col("start")).alias("word_from"), (F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.col("start")).alias("word_to"))
-    pieces = spread.join(picks, ["__rank", "b"]).select(F.col("__id").alias(id_col), "__h", "__source", "start", "size", "epoch", "word_from", "word_to", "shard")
+    # Sizes of both sides are guessed from before their rows were exploded, so that slots would be broadcast by the guess.
+    pieces = spread.join(picks.hint("merge"), ["__rank", "b"]).select(F.col("__id").alias(id_col), "__h", "__source", "start", "size", "epoch", "word_from", "word_to", "shard")
     return plan.select(F.col("__id").alias(id_col), "__h", "__source", "size", "start", "source_size", "target"), pieces
 
 
