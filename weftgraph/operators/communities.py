@@ -13,9 +13,16 @@ from weftgraph.operators.graph import KERNEL_EDGES, Graph, LocalGraph, ratio
 from weftgraph.plans.shared import materialize
 
 
-def greedy_merge(g: LocalGraph) -> np.ndarray:
-    """Community numbers: merge the pair of communities that raises modularity most, until none does."""
-    total = g.weight.sum()
+#: Offers that wait at least before outdated ones are thrown away.
+WAITING = 100_000
+
+
+def greedy_merge(g: LocalGraph, total: float | None = None) -> np.ndarray:
+    """Community numbers: merge the pair of communities that raises modularity most, until none does.
+
+    ``total`` is the weight of the whole graph where ``g`` holds some of its components: what merges in one depends on no other.
+    """
+    total = g.weight.sum() if total is None else total
     label = np.arange(g.n)
     if not g.a.size or total <= 0:
         return label
@@ -41,7 +48,12 @@ def greedy_merge(g: LocalGraph) -> np.ndarray:
         for j in share[i]:
             if i < j:
                 offer(i, j)
+    most = max(2 * len(heap), WAITING)
     while heap:
+        if len(heap) > most:
+            heap = [x for x in heap if alive[x[1]] and alive[x[2]] and version[x[1]] == x[3] and version[x[2]] == x[4]]
+            heapq.heapify(heap)
+            most = max(2 * len(heap), WAITING)
         _, i, j, vi, vj = heapq.heappop(heap)
         if not (alive[i] and alive[j] and version[i] == vi and version[j] == vj):
             continue
@@ -86,6 +98,25 @@ def merge_mutually(graph: Graph, max_rounds: int = 200) -> DataFrame:
     return label
 
 
+def _merged_by_component(graph: Graph) -> DataFrame:
+    """(node, label) as ``greedy_merge`` of the whole graph gives them, one component a group, in tasks."""
+    total = graph.links.agg(F.sum("weight")).first()[0] or 0.0
+
+    def merge(e: pd.DataFrame) -> pd.DataFrame:
+        e = e.sort_values(["src", "dst"])
+        names = sorted(set(e["src"]) | set(e["dst"]))
+        at = {x: i for i, x in enumerate(names)}
+        g = LocalGraph(names, e["src"].map(at).to_numpy(dtype=np.int64), e["dst"].map(at).to_numpy(dtype=np.int64), e["weight"].to_numpy(dtype=float))
+        return pd.DataFrame({"node": names, "label": [names[i] for i in greedy_merge(g, total)]})
+
+    nodes = graph.components
+    links = graph.links.join(nodes.withColumnsRenamed({"node": "src"}), "src")
+    # Dealt by a number for each component, which adaptive plans don't fold.
+    tasks = graph.spark.sparkContext.defaultParallelism * 4
+    found = links.repartition(tasks, "component").groupBy("component").applyInPandas(merge, "node string, label string")
+    return materialize(graph.degrees.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
 def community_table(graph: Graph) -> DataFrame:
     """(node, community): communities are numbered from 1, the largest first, ties by smallest node."""
 
@@ -93,9 +124,7 @@ def community_table(graph: Graph) -> DataFrame:
         if graph.m > KERNEL_EDGES:
             labels = merge_mutually(graph)
         else:
-            g = graph.local("community_table")
-            got = greedy_merge(g)
-            labels = graph.spark.createDataFrame(pd.DataFrame({"node": g.names, "label": [g.names[i] for i in got]}), "node string, label string")
+            labels = _merged_by_component(graph)
         sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first"))
         # One row a community in the window.
         numbered = sizes.withColumn("community", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "first")))
