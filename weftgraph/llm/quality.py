@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,18 @@ def text_features(text: str) -> tuple[int, int, int, int, int, list[bytes], list
     return len(words), chars, symbols, again, repeated_words(words), hashes, list(lines.values())
 
 
+def without_lines(text: str, gone: set[bytes]) -> str:
+    """``text`` without the lines whose normalised hash is in ``gone``."""
+    key = lambda line: hashlib.blake2b(b" ".join(line.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
+    return "\n".join(line for line in text.split("\n") if key(line) not in gone) if gone else text
+
+
+def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([without_lines(t, set() if g is None else set(g)) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = 2, line_share: float = 0.0, depleted: float = 0.5, min_words: int = 50, repeat_percent: int = 50, salts: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = 2, line_share: float = 0.0, depleted: float = 0.5, min_words: int = 50, repeat_percent: int = 50, salts: int = 16, texts: bool = False
 ) -> DataFrame:
     """Each row of ``docs`` as id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
 
@@ -74,18 +85,20 @@ def quality_rules(
     rows count as one document and are judged alike; rows with a null id count as one document; an empty table gives no
     rows; other columns are ignored.
 
+    With ``texts`` a last column, text, has what is left of each text (null: empty): its lines that weren't removed, as they were, joined by \n; lines without a word stay.
+
     Lines travel as 128-bit hashes, once a document; counts are summed before they are shuffled and hot lines are dealt over salts.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), text_or_empty(text_col).alias("__text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = T.StructType([rows.schema["__id"], rows.schema["__host"], *[T.StructField(c, T.LongType()) for c in names], T.StructField("hashes", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["__id"], rows.schema["__host"], *[T.StructField(c, T.LongType()) for c in names], T.StructField("hashes", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.LongType())), *([T.StructField("__text", T.StringType())] if texts else [])])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in small_parts(batch.column(2)):
                 cols = list(zip(*map(text_features, texts), strict=True))
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.list_(pa.binary())), pa.array(cols[6], _LONGS)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.list_(pa.binary())), pa.array(cols[6], _LONGS), *([part.column(2)] if "__text" in schema.names else [])], names=schema.names)
 
     feats = materialize(rows.mapInArrow(features, schema), "lines")
     held = feats.select("__id", "__host", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select("__id", "__host", F.col("x.hashes").alias("h"), F.col("x.sizes").alias("words"))
@@ -93,9 +106,9 @@ def quality_rules(
     counts = held.select("__host", "h", "__id").distinct().groupBy("__host", "h").agg(F.count("*").alias("n"), F.min("__id").alias("first")).filter(F.col("n") > line_docs)
     counts = counts.join(hosts.withColumnRenamed("__host", "__hh"), F.col("__host").eqNullSafe(F.col("__hh"))).filter(F.col("n") > F.col("docs") * line_share).select("__host", "h", "first")
     lost = salted_join(held, counts, ["__host", "h"], ["__id"], salts).filter(~F.col("__id").eqNullSafe(F.col("first")))
-    lost = lost.groupBy("__id", "__host", "h").agg(F.max("words").alias("words")).groupBy("__id", "__host").agg(F.sum("words").alias("lost_words"))
-    lost = lost.select(F.col("__id").alias("__lid"), F.col("__host").alias("__lhost"), "lost_words")
+    lost = lost.groupBy("__id", "__host", "h").agg(F.max("words").alias("words")).groupBy("__id", "__host").agg(F.sum("words").alias("lost_words"), *([F.collect_list("h").alias("__gone")] if texts else []))
+    lost = lost.withColumnsRenamed({"__id": "__lid", "__host": "__lhost"})
     out = feats.join(lost, F.col("__id").eqNullSafe(F.col("__lid")) & F.col("__host").eqNullSafe(F.col("__lhost")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     gone = F.coalesce("lost_words", F.lit(0).cast("long"))
-    return out.select(F.col("__id").alias(id_col), *names, failed.alias("base_failed"), gone.alias("lost_words"), (~failed & (gone <= depleted * F.col("n_words"))).alias("kept"))
+    return out.select(F.col("__id").alias(id_col), *names, failed.alias("base_failed"), gone.alias("lost_words"), (~failed & (gone <= depleted * F.col("n_words"))).alias("kept"), *([F.pandas_udf(_left, "string")("__text", "__gone").alias("text")] if texts else []))
