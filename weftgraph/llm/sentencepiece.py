@@ -30,12 +30,54 @@ from weftgraph.llm.text import small_parts, text_or_empty
 
 SPACE = "▁"
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
-#: Words whose ids a worker keeps; when full the store starts anew. A bound on memory, not on results.
-MEMO_WORDS, MEMO_PAIRS, MEMO_GROWTH = 120_000, 200_000, 60_000
+#: What a worker keeps: words and parts of words in two halves each, of which a full one replaces the older; pairs and growths, which start anew. A bound on memory, not on results.
+MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS, MEMO_GROWTH = 30_000, 120_000, 200_000, 60_000
+#: Groups of characters that are told apart where a word is cut; more are taken as one.
+MEMO_KINDS = 32
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 DONE = float("-inf")
 
 
+class Recent(dict):
+    """Ids by text, of the texts that were asked for last: between ``most`` and twice as many."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        known = self.older.get(text)
+        if known is None:
+            known = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[text] = known
+        return known
+
+
+def cuts(names: Iterable[str]) -> re.Pattern:
+    """Finds the parts of a word between which no piece reaches: neighbours in a piece are of one kind, and characters of two kinds never are neighbours in one."""
+    kind: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while kind.setdefault(c, c) != c:
+            kind[c] = c = kind[kind[c]]
+        return c
+
+    for name in names:
+        own = name.lstrip(SPACE)
+        for a, b in zip(own, own[1:], strict=False):
+            kind[top(a)] = top(b)
+    groups: dict[str, list[str]] = {}
+    for c in sorted(kind):
+        groups.setdefault(top(c), []).append(c)
+    sets = sorted(("".join(map(re.escape, g)) for g in groups.values()), key=len, reverse=True)
+    sets = [*sets[:MEMO_KINDS], *(["".join(sets[MEMO_KINDS:])] if sets[MEMO_KINDS:] else [])]
+    return re.compile("|".join([*(f"[{s}]+" for s in sets), "."]), re.DOTALL)
+
+
 class Model:
     """Pieces of a model file, read from its bytes."""
 
@@ -60,15 +102,31 @@ class Model:
             for k in range(1, len(name)):
                 self.heads.setdefault(name[:k], -1)
             self.heads[name] = self.ids[name]
+        #: Piece id (else -1) and what may follow, by character.
+        self.tree: dict[str, tuple[int, dict]] = {}
+        for name, k in sorted(self.heads.items()):
+            at = self.tree
+            for c in name[:-1]:
+                at = at[c][1]
+            at[name[-1]] = (k, {})
         #: A piece with a space mark after another character would let words run into each other.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lengths = list(map(len, self.names))
         self.none = -1  # as if a character without a piece stood before the text
         self.surface = [bytes([int(n[3:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == 3 else n.encode() for n, k in zip(self.names, self.kinds, strict=True)]
-        self.words: dict[str, bytes] = {}
+        self.cuts = cuts(self.ids)
+        self.words, self.parts = Recent(MEMO_WORDS, self.word), Recent(MEMO_PARTS, lambda part: encode_stretch(self, part))
         self.pairs: dict[int, bool] = {}
         self.grown: dict[int, tuple[list[float], list[str], list[str]]] = {}
 
+    def word(self, w: str) -> bytes:
+        """Ids of a word after a space mark. A BPE model merges nothing across a cut, so each part is encoded by itself."""
+        if not self.bpe:
+            return encode_stretch(self, SPACE + w)
+        first, *rest = self.cuts.findall(w)
+        parts = self.parts
+        return b"".join([parts[SPACE + first], *[parts[x] for x in rest]])
+
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves the pieces ``a`` and ``b``, side by side, as they are.
 
@@ -201,6 +259,32 @@ def stream(model: Model, text: str) -> Iterator[int]:
         yield from ids_of(ring[n % size])
 
 
+def window(model: Model, text: str) -> list[int]:
+    """What ``stream`` gives for a BPE model and a stretch no longer than its window: no boundary leaves it, so survivors are kept by place instead of in a ring."""
+    n, tree, pair = len(text), model.tree, model.pairs.get
+    last: list[int | None] = [None] * (n + 1)  # the survivor's last piece at each boundary, and where it starts
+    back = [0] * (n + 1)
+    before: int | None = model.none
+    for s in range(n):
+        if s and (before := last[s]) is None:
+            continue
+        kids, e = tree, s
+        for c in text[s:]:
+            if c not in kids:
+                break
+            k, kids = kids[c]
+            e += 1
+            if k >= 0 and last[e] is None and (before < 0 or (ok := pair(before << 32 | k)) or ok is None and model.apart(before, k)):
+                last[e], back[e] = k, s
+        if last[s + 1] is None and text[s] not in model.ids:
+            last[s + 1], back[s + 1] = -1 - ord(text[s]), s
+    out = []
+    while n:
+        out.append(last[n])
+        n = back[n]
+    return out[::-1]
+
+
 def _after(way: Way, cut: dict[int, Way | None]) -> Way | None:
     """``way`` without its beginning up to the way in ``cut``; equal ways stay one."""
     todo = []
@@ -218,7 +302,7 @@ def _after(way: Way, cut: dict[int, Way | None]) -> Way | None:
 def encode_stretch(model: Model, text: str) -> bytes:
     """Ids of a stretch, as the bytes of 32-bit numbers."""
     out = array("i")
-    for k in stream(model, text):
+    for k in window(model, text) if model.bpe and len(text) <= model.longest else stream(model, text):
         if k >= 0:
             out.append(k)
         elif model.bytes:
@@ -235,21 +319,7 @@ def encode_bytes(model: Model, text: str) -> bytes:
         return encode_stretch(model, (SPACE if model.prefix else "") + text.replace(" ", SPACE))
     # No piece crosses from another character to a space mark: all paths converge there, and equal stretches have equal ids.
     if model.prefix and SPACE not in text and "" not in (words := text.split(" ")):
-        memo = model.words
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            if (known := memo.get(w)) is None:
-                known = encode_stretch(model, SPACE + w)
-                if len(w) <= 64:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[w] = known
-            out.append(known)
-        return b"".join(out)
+        return b"".join(map(model.words.__getitem__, words))
     text = (SPACE if model.prefix else "") + text.replace(" ", SPACE)
     return b"".join(encode_stretch(model, x) for x in _STRETCH.findall(text))
 
