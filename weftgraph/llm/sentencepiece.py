@@ -31,7 +31,7 @@ from weftgraph.llm.text import small_parts, text_or_empty
 SPACE = "▁"
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: What a worker keeps: words and parts of words in two halves each, of which a full one replaces the older; pairs and growths, which start anew. A bound on memory, not on results.
-MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS, MEMO_GROWTH = 30_000, 120_000, 200_000, 60_000
+MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS, MEMO_GROWTH = 60_000, 150_000, 200_000, 60_000
 #: Groups of characters that are told apart where a word is cut; more are taken as one.
 MEMO_KINDS = 32
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -265,6 +265,7 @@ def window(model: Model, text: str) -> list[int]:
     last: list[int | None] = [None] * (n + 1)  # the survivor's last piece at each boundary, and where it starts
     back = [0] * (n + 1)
     before: int | None = model.none
+    ids = model.ids
     for s in range(n):
         if s and (before := last[s]) is None:
             continue
@@ -276,7 +277,7 @@ def window(model: Model, text: str) -> list[int]:
             e += 1
             if k >= 0 and last[e] is None and (before < 0 or (ok := pair(before << 32 | k)) or ok is None and model.apart(before, k)):
                 last[e], back[e] = k, s
-        if last[s + 1] is None and text[s] not in model.ids:
+        if last[s + 1] is None and text[s] not in ids:
             last[s + 1], back[s + 1] = -1 - ord(text[s]), s
     out = []
     while n:
@@ -302,7 +303,13 @@ def _after(way: Way, cut: dict[int, Way | None]) -> Way | None:
 def encode_stretch(model: Model, text: str) -> bytes:
     """Ids of a stretch, as the bytes of 32-bit numbers."""
     out = array("i")
-    for k in window(model, text) if model.bpe and len(text) <= model.longest else stream(model, text):
+    if model.bpe and len(text) <= model.longest:
+        found = window(model, text)
+        if found and min(found) >= 0:
+            return array("i", found).tobytes()
+    else:
+        found = stream(model, text)
+    for k in found:
         if k >= 0:
             out.append(k)
         elif model.bytes:
