@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.graph import KERNEL_EDGES, Graph, LocalGraph, ratio
+from weftgraph.operators.graph import Graph, LocalGraph, ratio
 from weftgraph.plans.shared import materialize
 
 
@@ -118,13 +118,10 @@ def _merged_by_component(graph: Graph) -> DataFrame:
 
 
 def community_table(graph: Graph) -> DataFrame:
-    """(node, community): communities are numbered from 1, the largest first, ties by smallest node."""
+    """(node, community) of the greedy merges, at every size: communities are numbered from 1, the largest first, ties by smallest node."""
 
     def make() -> DataFrame:
-        if graph.m > KERNEL_EDGES:
-            labels = merge_mutually(graph)
-        else:
-            labels = _merged_by_component(graph)
+        labels = _merged_by_component(graph)
         sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first"))
         # One row a community in the window.
         numbered = sizes.withColumn("community", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "first")))
