@@ -1,4 +1,6 @@
-"""Communities are the greedy ones whatever the size."""
+"""Communities are the greedy ones whatever the size, found with few offers."""
+
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -28,3 +30,38 @@ def test_no_other_communities_beyond_the_size_of_kernels(spark, monkeypatch):
     monkeypatch.setattr(graph, "KERNEL_EDGES", 100)
     monkeypatch.setattr(communities, "KERNEL_EDGES", 100, raising=False)
     assert found() == below
+
+
+def merged_by_all_gains(g: LocalGraph) -> np.ndarray:
+    """The definition: all gains anew before each merge."""
+    total = g.weight.sum()
+    share = np.zeros((g.n, g.n))
+    share[g.a, g.b] = share[g.b, g.a] = g.weight / (2 * total)
+    near = share != 0
+    ends, label = share.sum(axis=1), np.arange(g.n)
+    while True:
+        gain = np.where(near & ~np.eye(g.n, dtype=bool), 2 * (share - np.outer(ends, ends)), 0.0)
+        i, j = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[i, j] <= 1e-15:
+            return label
+        label[label == label[j]] = label[i]
+        near[i] |= near[j]
+        share[i] += share[j]
+        share[:, i], near[:, i] = share[i], near[i]
+        share[j] = share[:, j] = 0
+        near[j] = near[:, j] = False
+        ends[i] += ends[j]
+        ends[j] = 0
+
+
+def test_few_offers_and_the_pairs_of_the_definition(monkeypatch):
+    local = drawn(60, 200, 5)
+    local.weight = np.random.default_rng(6).random(local.a.size) + 0.1  # no ties
+    got, want = communities.greedy_merge(local), merged_by_all_gains(local)
+    assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
+    offers = []
+    push = heapq.heappush
+    monkeypatch.setattr(heapq, "heappush", lambda heap, x: offers.append(x) or push(heap, x))
+    large = drawn(600, 8000, 7)
+    communities.greedy_merge(large)
+    assert len(offers) < 6 * large.a.size

@@ -35,14 +35,15 @@ def greedy_merge(g: LocalGraph, total: float | None = None) -> np.ndarray:
         ends[b] += w
     alive = [True] * g.n
     members: list[list[int]] = [[i] for i in range(g.n)]
-    version = [0] * g.n
-    heap: list[tuple[float, int, int, int, int]] = []
+    # A pair's gain only rises when it takes over weight, where strengths don't fall; so offers made before are bounds, and are corrected when their turn comes.
+    bounds = bool((g.weight >= 0).all())
+    heap: list[tuple[float, int, int]] = []
 
     def offer(i: int, j: int) -> None:
-        a, b = min(i, j), max(i, j)
+        a, b = (i, j) if i < j else (j, i)
         gain = 2 * (share[a][b] - ends[a] * ends[b])
         if gain > 1e-15:
-            heapq.heappush(heap, (-gain, a, b, version[a], version[b]))
+            heapq.heappush(heap, (-gain, a, b))
 
     for i in range(g.n):
         for j in share[i]:
@@ -51,26 +52,31 @@ def greedy_merge(g: LocalGraph, total: float | None = None) -> np.ndarray:
     most = max(2 * len(heap), WAITING)
     while heap:
         if len(heap) > most:
-            heap = [x for x in heap if alive[x[1]] and alive[x[2]] and version[x[1]] == x[3] and version[x[2]] == x[4]]
+            heap = [x for x in set(heap) if alive[x[1]] and alive[x[2]]]
             heapq.heapify(heap)
             most = max(2 * len(heap), WAITING)
-        _, i, j, vi, vj = heapq.heappop(heap)
-        if not (alive[i] and alive[j] and version[i] == vi and version[j] == vj):
+        loss, i, j = heapq.heappop(heap)
+        if not (alive[i] and alive[j]):
+            continue
+        if 2 * (share[i][j] - ends[i] * ends[j]) != -loss:
+            if not heap or heap[0] != (loss, i, j):
+                offer(i, j)
             continue
         if len(share[i]) < len(share[j]):
             i, j = j, i
+        own = share[i]
         for k, w in share[j].items():
             if k != i:
-                share[i][k] = share[i].get(k, 0.0) + w
-                share[k][i] = share[i][k]
+                own[k] = share[k][i] = own.get(k, 0.0) + w
                 del share[k][j]
-        share[i].pop(j, None)
+        own.pop(j, None)
         ends[i] += ends[j]
         members[i] += members[j]
         alive[j] = False
-        version[i] += 1
-        for k in share[i]:
-            offer(i, k)
+        for k in share[j] if bounds else own:
+            if k != i:
+                offer(i, k)
+        share[j] = {}
     for c in (c for c in range(g.n) if alive[c]):
         label[members[c]] = min(members[c])
     return label
